@@ -48,8 +48,9 @@ def discard(df: DataFrame) -> None:
 
 
 def input_bytes(df: DataFrame) -> int:
-    """The optimizer's size of df: what its files hold for a scan, with no job run."""
-    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    """The optimizer's size of df: what its files hold for a scan, with no job run; 0 where it knows none."""
+    found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return found if found < 1 << 56 else 0
 
 
 def parts_for(df: DataFrame, bytes_each: int = 6 << 20) -> int:

@@ -4,15 +4,29 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe
+from . import byte_bpe, packing, token_files
 from .common import table
 
 
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return byte_bpe.digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return byte_bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(packing.tokens(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
+
+
+def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files.read(token_files.write(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe}
+QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op5_packing": op5_packing, "op9_token_files": op9_token_files}
 ORACLE_SQL: dict[str, str] = {}
