@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, packing, token_files
+from . import byte_bpe, language, packing, quality, token_files
 from .common import table
 
 
@@ -20,13 +20,30 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels"))).select("doc_id", "held_out", "score", "predicted")
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(packing.tokens(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents (declared language, source) and pages (markup, address suffix, host) together; doc_id or page_id is null."""
+    rows = language.from_documents(table(spark, sf_dir, "documents")).unionByName(language.from_pages(table(spark, sf_dir, "pages")))
+    return language.identify(rows).select("doc_id", "page_id", "declared", "text_language", "language", "probability", "kept")
+
+
 def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
-QUERIES = {"op3_byte_bpe": op3_byte_bpe, "op5_packing": op5_packing, "op9_token_files": op9_token_files}
+QUERIES = {
+    "op3_byte_bpe": op3_byte_bpe,
+    "op4_quality": op4_quality,
+    "op5_packing": op5_packing,
+    "op6_language_id": op6_language_id,
+    "op9_token_files": op9_token_files,
+}
 ORACLE_SQL: dict[str, str] = {}
