@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import byte_bpe, language, packing, quality, token_files
+from . import byte_bpe, language, near_duplicates, packing, quality, token_files
 from .common import table
 
 
@@ -39,11 +39,16 @@ def op9_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.read(token_files.write(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json")))
 
 
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 QUERIES = {
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,
     "op6_language_id": op6_language_id,
     "op9_token_files": op9_token_files,
+    "op10_minhash": op10_minhash,
 }
 ORACLE_SQL: dict[str, str] = {}
