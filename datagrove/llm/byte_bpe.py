@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, slices
+from .common import Recent, slices
 
 WORD_BITS = 256
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -64,9 +64,7 @@ class ByteBPE:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.ids: dict[str, str] = {}
-        self.decoded: dict[str, bytes] = {}
-        self.words: dict[str, str] = {}
+        self.ids, self.decoded, self.words = Recent(), Recent(), Recent()
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:
@@ -109,28 +107,22 @@ class ByteBPE:
         return b"".join(map(self.bytes_of.__getitem__, ids))
 
     def learn(self, pieces: list[str]) -> None:
-        """Encodes the pieces not met so far; the caches start over when they are full."""
-        ids, decoded, words = self.ids, self.decoded, self.words
-        if len(ids) > CACHE_ENTRIES:
-            ids.clear(), decoded.clear()
-        if len(words) > CACHE_ENTRIES:
-            words.clear()
-        for piece in set(pieces).difference(ids):
-            found = []
-            for match in self.split.findall(piece):
-                if (known := words.get(match)) is None:
-                    known = ",".join(map(str, self.merge(match.encode())))
-                    if len(match) < 64:
-                        words[match] = known
-                found.append(known)
-            ids[piece] = ",".join(found)
-            decoded[piece] = self.decode(map(int, ids[piece].split(",")))
+        """Encodes and decodes the pieces not met lately."""
+        pieces = set(pieces)
+        self.decoded.missing(pieces)
+        new, ids, decoded, words = self.ids.missing(pieces), self.ids.new, self.decoded.new, self.words
+        split = {p: self.split.findall(p) for p in new}
+        for match in words.missing({m for found in split.values() for m in found}):
+            words.new[match] = ",".join(map(str, self.merge(match.encode())))
+        for piece, found in split.items():
+            ids[piece] = joined = ",".join(map(words.new.__getitem__, found))
+            decoded[piece] = self.decode(map(int, joined.split(",")))
 
     def digest(self, text: str) -> tuple[int, str, str]:
         pieces = _PIECES.findall(text)
         self.learn(pieces)
-        joined = ",".join(map(self.ids.__getitem__, pieces))
-        back = b"".join(map(self.decoded.__getitem__, pieces))
+        joined = ",".join(map(self.ids.new.__getitem__, pieces))
+        back = b"".join(map(self.decoded.new.__getitem__, pieces))
         return (joined.count(",") + 1 if joined else 0), hashlib.sha256(joined.encode()).hexdigest(), hashlib.sha256(back).hexdigest()
 
 

@@ -12,11 +12,31 @@ from pyspark.sql import functions as F
 #: Rows handled together inside one Arrow batch, so that a Python worker holds the words of few texts only.
 ROWS_AT_ONCE = 192
 #: Entries a worker's word cache may hold before it starts over with the words in use.
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 600_000
 #: Stands for a null id where ids are ordered: after all others.
 LAST_ID = np.iinfo(np.int64).max
 
 
+class Recent:
+    """A bounded cache in two generations: what the older one holds moves up when it is asked for, the rest is forgotten."""
+
+    def __init__(self, entries: int = CACHE_ENTRIES):
+        self.entries, self.new, self.old = entries, {}, {}
+
+    def missing(self, keys) -> list:
+        """The keys that new doesn't hold afterwards."""
+        if len(self.new) > self.entries:
+            self.new, self.old = {}, self.new
+        new, old, out = self.new, self.old, []
+        for k in keys:
+            if k not in new:
+                if (v := old.get(k)) is None:
+                    out.append(k)
+                else:
+                    new[k] = v
+        return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -7,10 +7,11 @@ met so far are encoded by the tokenizers library; the others come from a bounded
 from __future__ import annotations
 
 import os
+from array import array
 
 import numpy as np
 
-from .common import CACHE_ENTRIES
+from .common import Recent
 
 
 class WordIds:
@@ -21,25 +22,23 @@ class WordIds:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
-        self.kind = np.dtype(f"<u{self.width}")
-        self.cache: dict[str, bytes] = {}
+        self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
+        self.cache = Recent()
 
     def _encode(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
     def of(self, texts: list[str]) -> list[bytes]:
         """The little-endian ids of each text, self.width bytes each."""
         split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]  # those part words in Python only
-        cache, words = self.cache, set()
+        words = set()
         for s in split:
             words.update(s or ())
-        new = [w for w in words if w not in cache]
-        if len(cache) + len(new) > CACHE_ENTRIES:
-            cache = self.cache = {w: cache[w] for w in words if w in cache}
+        new = self.cache.missing(words)
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
-            cache.update(zip(part, self._encode(part), strict=True))
-        get = cache.__getitem__
+            self.cache.new.update(zip(part, self._encode(part), strict=True))
+        get = self.cache.new.__getitem__
         return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
