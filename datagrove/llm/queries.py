@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hamming, language, near_duplicates, packing, quality, token_files, vectors
+from . import byte_bpe, hamming, language, near_duplicates, packing, quality, scoring, token_files, vectors
 from .common import table
 
 
@@ -15,6 +15,10 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scoring.score(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,6 +60,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_lm_scoring": op2_lm_scoring,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
     "op5_packing": op5_packing,

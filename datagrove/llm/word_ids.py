@@ -28,16 +28,21 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
+    def encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each text; those of texts met lately come from the cache."""
+        new = self.cache.missing(words)
+        for at in range(0, len(new), 4096):
+            part = new[at : at + 4096]
+            self.cache.new.update(zip(part, self._encode(part), strict=True))
+        return list(map(self.cache.new.__getitem__, words))
+
     def of(self, texts: list[str]) -> list[bytes]:
         """The little-endian ids of each text, self.width bytes each."""
         split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]  # those part words in Python only
         words = set()
         for s in split:
             words.update(s or ())
-        new = self.cache.missing(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.cache.new.update(zip(part, self._encode(part), strict=True))
+        self.encode(list(words))
         get = self.cache.new.__getitem__
         return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
