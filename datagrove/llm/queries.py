@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import byte_bpe, hamming, language, near_duplicates, packing, quality, scoring, token_files, vectors
+from . import byte_bpe, hamming, language, near_duplicates, packing, quality, scoring, suffix_dedup, token_files, vectors
 from .common import table
 
 
@@ -15,6 +15,11 @@ def _vocabulary(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = suffix_dedup.deduplicate(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op2_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.score(table(spark, sf_dir, "documents"), _vocabulary("word_bpe_49k.json"))
 
@@ -60,6 +65,7 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_array_dedup": op1_suffix_array_dedup,
     "op2_lm_scoring": op2_lm_scoring,
     "op3_byte_bpe": op3_byte_bpe,
     "op4_quality": op4_quality,
