@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from datagrove.llm import language, near_duplicates, packing, quality, suffix_dedup
-from datagrove.llm.common import table
+from datagrove.llm.common import table, written
 
 #: An exact SQL twin would need the classifier's weights and the tokenizer; tests hold each stage against brute force.
 ORACLE_SQL = None
@@ -61,6 +61,6 @@ STAGES = [
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for name, stage in STAGES[:-1]:
+        docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+    return STAGES[-1][1](spark, docs, sf_dir)
