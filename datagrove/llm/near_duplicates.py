@@ -8,9 +8,9 @@ needs. Inside a region, nodes stand in signature order; candidates are the neigh
 pairs whose signatures agree enough. In regions of over ALL_PAIRS nodes a node brings its BEST best partners and its
 neighbours only; those come from every tree, and links need only join the same components.
 
-Candidates are confirmed on the full sets, the most alike first, in rounds: a round tests each node's best untested partners
-in other components, then components grow, and the next round tests more. It ends when no untested candidate is left that
-could join two components, so links that the result depends on are never skipped.
+Candidates are confirmed on the full sets, the most alike first: a first round tests each node's FIRST best partners, then
+components grow, and a second round tests all candidates whose ends are still in different components, so links that the
+result depends on are never skipped.
 
 Rows that share an id are one node. Rows with a null id link with nothing and have a null component. Null texts are empty.
 """
@@ -28,7 +28,7 @@ from .components import components
 
 HASHES, TREES, DEPTHS = 64, 16, (4, 8, 12, 16)
 REGION = 1024
-ALL_PAIRS, BEST = 48, 8
+ALL_PAIRS, BEST, FIRST = 48, 8, 2
 #: Agreement of signatures from which a pair is tested: 3.6 standard deviations under 0.8.
 MARGIN = 0.18
 BROADCAST_ROWS = 100_000
@@ -249,26 +249,21 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     found = written(_candidates(_regions(nodes), parts, cut - MARGIN, cut), "candidates")
     # Equal sets under several ids hang together by their least id.
     same = known.groupBy("key").agg(F.min("doc_id").alias("low")).join(known.select("key", "doc_id"), "key").where("low < doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
-    links, tested, labels, wide = None, None, None, 2
+    links = None
     if not found.isEmpty():
         sets = written(_sets(docs, found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct(), words), "sets")
-        while True:
-            open_ = found
-            if tested is not None:
-                open_ = open_.join(tested, ["a", "b"], "left_anti")
-                for end in ("a", "b"):
-                    open_ = open_.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
-                open_ = open_.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b", "agree")
-            ends = open_.select("*", F.col("a").alias("at")).unionAll(open_.select("*", F.col("b").alias("at")))
-            ranked = ends.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("agree"), "a", "b"))).where(F.col("r") <= wide)
-            now = written(_confirmed(ranked.select("a", "b").distinct(), sets, percent), "tested")
-            if now.isEmpty():
-                break
-            fresh = now.where("linked").select("a", "b")
-            links = fresh if links is None else links.unionAll(fresh)
-            tested = now.select("a", "b") if tested is None else tested.unionAll(now.select("a", "b"))
-            labels = components(links)
-            wide *= 4
+        ends = found.select("*", F.col("a").alias("at")).unionAll(found.select("*", F.col("b").alias("at")))
+        ranked = ends.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("agree"), "a", "b"))).where(F.col("r") <= FIRST)
+        first = written(_confirmed(ranked.select("a", "b").distinct(), sets, percent), "tested")
+        links = first.where("linked").select("a", "b")
+        labels, rest = components(links), found.join(first.select("a", "b"), ["a", "b"], "left_anti")
+        for end in ("a", "b"):
+            rest = rest.join(labels.select(F.col("node").alias(end), F.col("component").alias(f"of_{end}")), end, "left")
+        rest = written(rest.where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b")).select("a", "b"), "rest")
+        wanted = rest.select(F.col("a").alias("node")).unionAll(rest.select("b")).distinct()
+        if wanted.count() <= BROADCAST_ROWS:
+            wanted = F.broadcast(wanted)
+        links = links.unionAll(written(_confirmed(rest, sets.join(wanted, "node", "left_semi"), percent), "tested").where("linked").select("a", "b"))
         discard(sets)
     edges = same if links is None else same.unionAll(links)
     merged = components(edges) if links is not None or not same.isEmpty() else None

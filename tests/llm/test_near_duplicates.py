@@ -59,9 +59,14 @@ def test_edges(spark, monkeypatch):
     assert near_duplicates.near_duplicates(df.limit(0), 2).collect() == []
 
 
-def test_components(spark):
+def test_components(spark, monkeypatch):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, 300 + k) for k in range(50)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)]
     want = components.forest(*zip(*edges, strict=True))
-    got = dict(map(tuple, components.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()))
-    assert got == {k: v for k, v in want.items() if k in got} and all(want[k] == k for k in want.keys() - got.keys())
+    for at_once in (components.EDGES_AT_ONCE, 30):
+        monkeypatch.setattr(components, "EDGES_AT_ONCE", at_once)
+        got = components.components(spark.createDataFrame(edges, "a long, b long").repartition(7)).collect()
+        assert len(got) == len({r.node for r in got})
+        got = dict(map(tuple, got))
+        assert got == {k: v for k, v in want.items() if k in got} and all(want[k] == k for k in want.keys() - got.keys())
+    assert components.components(spark.createDataFrame([], "a long, b long")).collect() == []
