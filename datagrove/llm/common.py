@@ -10,9 +10,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handled together inside one Arrow batch, so that a Python worker holds the words of few texts only.
-ROWS_AT_ONCE = 192
+ROWS_AT_ONCE = 384
 #: Entries a worker's word cache may hold before it starts over with the words in use.
-CACHE_ENTRIES = 600_000
+CACHE_ENTRIES = 750_000
 #: Stands for a null id where ids are ordered: after all others.
 LAST_ID = np.iinfo(np.int64).max
 

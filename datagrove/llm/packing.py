@@ -15,7 +15,6 @@ from __future__ import annotations
 
 import heapq
 import zlib
-from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +32,11 @@ BROADCAST_ROWS = 50_000
 _KEPT_WINDOWS = 8192
 
 
+def _turn(half_tokens: int, weight: int) -> int:
+    """half_tokens / weight as an integer in the same order: exact for weights below 2**48."""
+    return (half_tokens << 96) // weight
+
+
 class Schedule:
     """What each queue has given after x tokens of all."""
 
@@ -61,23 +65,23 @@ class Schedule:
         out = [min(r, (2 * x * w + whole) // (2 * whole)) for w, r in zip(weights, room, strict=True)]
         short = x - sum(out)
         if short > 0:
-            due = [(Fraction(2 * n + 1, w), q) for q, (n, w, r) in enumerate(zip(out, weights, room, strict=True)) if w and n < r]
+            due = [(_turn(2 * n + 1, w), q) for q, (n, w, r) in enumerate(zip(out, weights, room, strict=True)) if w and n < r]
             heapq.heapify(due)
             for _ in range(short):
                 q = due[0][1]
                 out[q] += 1
                 if out[q] < room[q]:
-                    heapq.heapreplace(due, (Fraction(2 * out[q] + 1, weights[q]), q))
+                    heapq.heapreplace(due, (_turn(2 * out[q] + 1, weights[q]), q))
                 else:
                     heapq.heappop(due)
         elif short < 0:
-            last = [(-Fraction(2 * n - 1, w), -q) for q, (n, w) in enumerate(zip(out, weights, strict=True)) if n]
+            last = [(-_turn(2 * n - 1, w), -q) for q, (n, w) in enumerate(zip(out, weights, strict=True)) if n]
             heapq.heapify(last)
             for _ in range(-short):
                 q = -last[0][1]
                 out[q] -= 1
                 if out[q]:
-                    heapq.heapreplace(last, (-Fraction(2 * out[q] - 1, weights[q]), -q))
+                    heapq.heapreplace(last, (-_turn(2 * out[q] - 1, weights[q]), -q))
                 else:
                     heapq.heappop(last)
         return [b + n for b, n in zip(before, out, strict=True)]
@@ -87,15 +91,22 @@ class Windows:
     """The windows of a schedule: what each queue has given before a window and where its tokens stand in it."""
 
     def __init__(self, schedule: Schedule, window: int):
-        self.schedule, self.window, self.known = schedule, window, {}
+        self.schedule, self.window, self.known, self.before = schedule, window, {}, {}
 
     def given(self, w: int) -> list[int]:
         if (found := self.known.get(w)) is None:
             if len(self.known) > _KEPT_WINDOWS:
                 self.known.clear()
+                self.before.clear()
             found = self.known[w] = self.schedule.given(min(w * self.window, self.schedule.total))
         return found
 
+    def ahead(self, w: int) -> list[int]:
+        """What the queues before each one have given before a window."""
+        if (found := self.before.get(w)) is None:
+            found = self.before[w] = [0, *accumulate(self.given(w))]
+        return found
+
     def pieces(self, queue: int, start: int, stop: int):
         """(window, place in it, tokens) of a queue's tokens [start, stop)."""
         low, high = 0, -(-self.schedule.total // self.window)
@@ -118,7 +129,7 @@ class Windows:
             here, following = self.given(low), self.given(low + 1)
             n = min(stop, following[queue]) - at
             if n:
-                yield low, sum(following[:queue]) - sum(here[:queue]) + at - here[queue], n
+                yield low, self.ahead(low + 1)[queue] - self.ahead(low)[queue] + at - here[queue], n
             at, low = at + n, low + 1
 
 
