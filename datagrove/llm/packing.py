@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import heapq
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
