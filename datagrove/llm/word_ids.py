@@ -54,3 +54,8 @@ def word_ids(path: str) -> WordIds:
     if path not in _loaded:
         _loaded[path] = WordIds(path)
     return _loaded[path]
+
+
+def forget() -> None:
+    """Drops the caches of this worker, for stages that need its memory for something else."""
+    _loaded.clear()
