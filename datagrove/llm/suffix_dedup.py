@@ -11,8 +11,8 @@ UTF-8; matches never cross documents and are judged on the input.
    so that no bucket holds more of a frequent passage than each batch's one copy.
 3. In a bucket the segments are dealt over shards. Each shard sorts its own suffixes and forms its Burrows-Wheeler
    transform. The shards are merged by iterative interleave refinement: the interleave sorted by k symbols and the
-   transforms' symbols in that order, stably dealt by symbol, give the interleave sorted by k + 1 symbols; where symbol
-   or block differ a new block starts. After LENGTH steps the blocks are the intervals of suffixes with a common prefix of
+   transforms' symbols in that order (two at a time), stably dealt by symbol, give the interleave sorted by k + 2 symbols;
+   where symbols or block differ a new block starts. After LENGTH steps the blocks are the intervals of suffixes with a common prefix of
    LENGTH bytes, and each interval's least doc_id decides for all its windows. The merged suffixes are never sorted.
 4. Batches get the repeated stretches of their documents back and cut them out.
 
@@ -28,11 +28,11 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import LAST_ID, cat_ranges, parts_for, written
+from .common import LAST_ID, cat_ranges, parts_for
 
 LENGTH, GRAM = 50, 25
 HOT = 1000
-SHARDS, BLOCK_BYTES, SCAN_BYTES = 4, 1 << 19, 1 << 18
+SHARDS, BLOCK_BYTES, SCAN_BYTES = 2, 1 << 16, 1 << 17
 LONGEST_RUN = 64
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -241,51 +241,49 @@ def _send(parts: int):
 
 
 class Shard:
-    """The suffixes of strings (each closed by a symbol 0), sorted by LENGTH symbols at least, and their transform."""
+    """The suffixes of strings (each closed by a symbol 0, the whole taken as a circle), sorted by LENGTH symbols at least, and
+    their transform: the symbol before each, and the two symbols before each."""
 
     def __init__(self, x: np.ndarray):
-        padded = np.concatenate([x, np.zeros(64, np.uint8)])
-        key, k = padded.astype(np.uint64), 1
+        n = len(x)
+        key, k = np.resize(x, n + 7).astype(np.uint64), 1
         while k < 8:
             key = (key[:-k] << np.uint64(8 * k)) | key[k:]
             k *= 2
-        key, n = key[: len(x)], len(x)
         while True:
             order = np.argsort(key)
             ordered = key[order]
-            rank = np.empty(n + 64, np.uint64)
-            rank[n:] = 0
+            rank = np.empty(n, np.uint64)
             steps = np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)]).cumsum()
             rank[order] = steps
             if k >= LENGTH or steps[-1] == n:
                 break
-            key = (rank[:n] << np.uint64(32)) | rank[k : n + k]
+            key = (rank << np.uint64(32)) | np.roll(rank, -(k % n))
             k *= 2
         self.suffixes = order
-        self.transform = np.where(order > 0, x[order - 1], 0).astype(np.uint8)
+        self.one = x[order - 1]
+        self.two = (x[order - 2].astype(np.uint16) << np.uint16(8)) | self.one
 
 
 def merge(shards: list[Shard], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
-    """The interleave (the shard of each merged suffix) and the number of its interval of suffixes with depth common symbols."""
-    sizes = [len(s.transform) for s in shards]
-    inter = np.repeat(np.arange(len(shards), dtype=np.uint8), sizes)
-    closed = np.repeat(np.arange(len(shards), dtype=np.uint8), [int((s.transform == 0).sum()) for s in shards])
-    block = np.zeros(len(inter), np.int32)
-    symbols = np.empty(len(inter), np.uint8)
-    new = np.empty(len(inter), bool)
-    for _ in range(depth):
+    """The interleave (the shard of each merged suffix) and the number of its interval of suffixes with depth common symbols.
+
+    A step deals by two symbols at once; where depth is odd, the first deals by one.
+    """
+    inter = np.repeat(np.arange(len(shards), dtype=np.int32), [len(s.one) for s in shards])
+    state = inter  # interval << 2 | shard
+    new = np.ones(len(inter), bool)
+    for width in [1] * (depth % 2) + [2] * (depth // 2):
+        symbols = np.empty(len(inter), np.uint16)
         for k, s in enumerate(shards):
-            symbols[inter == k] = s.transform
+            symbols[np.flatnonzero((state & 3) == k)] = s.one if width == 1 else s.two
         order = np.argsort(symbols, kind="stable")  # dealt by symbol; what stood first stays first
-        inter = inter[order]
-        inter[: len(closed)] = closed
-        block, drawn = block[order], symbols[order]
-        new[:1] = True
+        state, drawn = state[order], symbols[order]
+        block = state >> 2
         np.not_equal(block[1:], block[:-1], out=new[1:])
         new[1:] |= drawn[1:] != drawn[:-1]
-        new[1 : len(closed)] = False
-        block = np.cumsum(new, dtype=np.int32)
-    return inter, block
+        state = (np.cumsum(new, dtype=np.int32) << 2) | (state & 3)
+    return state & 3, state >> 2
 
 
 def least_owner(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
@@ -402,12 +400,12 @@ def deduplicate(docs: DataFrame, as_text: bool = False) -> DataFrame:
     carried = [f"c{k}" for k in range(len(columns))]
     dealt = docs.select(F.col("doc_id").cast("long").alias("__id"), F.col("text").cast("string").alias("__text"), F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(parts)).cast("int").alias("__batch"), *[F.col(f"`{c}`").alias(n) for c, n in zip(columns, carried, strict=True)])
     answers = "part int, batch int, data binary"
-    plain = dealt.select("__id", "__text", "__batch")
-    asked = plain.groupBy("__batch").applyInArrow(_ask(parts), answers)
-    known = written(asked.groupBy("part").applyInArrow(_answer, answers), "anchors")
-    sent = plain.groupBy("__batch").cogroup(known.groupBy("batch")).applyInArrow(_send(parts), answers)
-    found = written(sent.groupBy("part").applyInArrow(_meet, "batch int, data binary"), "stretches")
+    # One plan: the documents are dealt once, all three steps that read them share the exchange.
+    batches = dealt.groupBy("__batch")
+    known = batches.applyInArrow(_ask(parts), answers).groupBy("part").applyInArrow(_answer, answers)
+    sent = batches.cogroup(known.groupBy("batch")).applyInArrow(_send(parts), answers)
+    found = sent.groupBy("part").applyInArrow(_meet, "batch int, data binary")
     kinds = {f.name: f.dataType.simpleString() for f in dealt.schema}
     schema = ", ".join([f"{c} {kinds[c]}" for c in carried] + ["n_bytes long", "n_removed long", "n_spans long", f"kept {'string' if as_text else 'binary'}"])
-    out = dealt.groupBy("__batch").cogroup(found.groupBy("batch")).applyInArrow(_cut(carried, as_text), schema)
+    out = batches.cogroup(found.groupBy("batch")).applyInArrow(_cut(carried, as_text), schema)
     return out.select(*[F.col(n).alias(c) for c, n in zip(columns, carried, strict=True)], "n_bytes", "n_removed", "n_spans", "kept")
