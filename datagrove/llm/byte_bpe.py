@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, slices
+from .common import CACHE_ENTRIES, Recent, slices
 
 WORD_BITS = 256
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -64,7 +64,7 @@ class ByteBPE:
         self.ranks, self.split = ranks, regex.compile(pattern)
         self.bytes_of = {r: b for b, r in ranks.items()}
         self.queue = RankQueue(max(ranks.values(), default=0) + 1)
-        self.ids, self.decoded, self.words = Recent(), Recent(), Recent()
+        self.ids, self.decoded, self.words = Recent(CACHE_ENTRIES // 3), Recent(CACHE_ENTRIES // 3), Recent(CACHE_ENTRIES // 3)
 
     @classmethod
     def from_file(cls, path: str, pattern: str) -> ByteBPE:

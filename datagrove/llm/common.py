@@ -23,17 +23,16 @@ class Recent:
     def __init__(self, entries: int = CACHE_ENTRIES):
         self.entries, self.new, self.old = entries, {}, {}
 
-    def missing(self, keys) -> list:
+    def missing(self, keys: set) -> list:
         """The keys that new doesn't hold afterwards."""
         if len(self.new) > self.entries:
             self.new, self.old = {}, self.new
         new, old, out = self.new, self.old, []
-        for k in keys:
-            if k not in new:
-                if (v := old.get(k)) is None:
-                    out.append(k)
-                else:
-                    new[k] = v
+        for k in keys.difference(new):
+            if (v := old.get(k)) is None:
+                out.append(k)
+            else:
+                new[k] = v
         return out
 
 

@@ -28,9 +28,9 @@ class WordIds:
     def _encode(self, texts: list[str]) -> list[bytes]:
         return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
-    def encode(self, words: list[str]) -> list[bytes]:
+    def encode(self, words) -> list[bytes]:
         """The ids of each text; those of texts met lately come from the cache."""
-        new = self.cache.missing(words)
+        new = self.cache.missing(set(words))
         for at in range(0, len(new), 4096):
             part = new[at : at + 4096]
             self.cache.new.update(zip(part, self._encode(part), strict=True))
@@ -42,7 +42,7 @@ class WordIds:
         words = set()
         for s in split:
             words.update(s or ())
-        self.encode(list(words))
+        self.encode(words)
         get = self.cache.new.__getitem__
         return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
