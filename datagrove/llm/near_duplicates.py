@@ -205,8 +205,8 @@ def _candidates(regions: DataFrame, parts: int, least: float, share: float) -> D
     return dealt.select("region", "node", "n", "sig").mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
-def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
-    """node, key and its full set, of the nodes named."""
+def _sets(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> DataFrame:
+    """node and its full set, of the nodes named; repeated: whether ids may have several rows."""
 
     def run(batches):
         shingles = Shingles(words)
@@ -216,26 +216,31 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    return wanted.mapInArrow(run, "node long, shingles binary").dropDuplicates(["node", "shingles"])
+    out = wanted.mapInArrow(run, "node long, shingles binary")
+    return out.dropDuplicates(["node", "shingles"]) if repeated else out
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) with linked: 100 * intersection >= percent * union, on the full sets."""
+    """Pairs (a, b) with linked: 100 * intersection >= percent * union, on the full sets, each of which travels to its pairs once."""
+
+    def alike(x: np.ndarray, y: np.ndarray) -> bool:
+        both = len(x) + len(y) - len(np.union1d(x, y))
+        return both > 0 and 100 * both >= percent * (len(x) + len(y) - both)
 
     def run(batches):
         for batch in batches:
-            for part in (batch.slice(k, 256) for k in range(0, batch.num_rows, 256)):
+            for part in (batch.slice(k, 128) for k in range(0, batch.num_rows, 128)):
                 linked = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    x, y = np.frombuffer(x, "<u8"), np.frombuffer(y, "<u8")
-                    both = len(x) + len(y) - len(np.union1d(x, y)) if len(x) and len(y) else 0
-                    linked.append(both > 0 and 100 * both >= percent * (len(x) + len(y) - both))
+                for ends in part.column(2).to_pylist():
+                    left, right = ([np.frombuffer(e["shingles"], "<u8") for e in ends if e["side"] == side] for side in (0, 1))
+                    linked.append(any(alike(x, y) for x in left for y in right))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(linked, pa.bool_())], ["a", "b", "linked"])
 
-    left = sets.select(F.col("node").alias("na"), F.col("shingles").alias("sa"))
-    right = sets.select(F.col("node").alias("nb"), F.col("shingles").alias("sb"))
-    full = pairs.join(left, F.col("a") == F.col("na")).join(right, F.col("b") == F.col("nb")).select("a", "b", "sa", "sb")
-    return full.mapInArrow(run, "a long, b long, linked boolean").groupBy("a", "b").agg(F.max("linked").alias("linked"))
+    ends = pairs.select(F.col("a").alias("of"), "a", "b", F.lit(0).alias("side")).unionAll(pairs.select(F.col("b").alias("of"), "a", "b", F.lit(1).alias("side")))
+    if pairs.count() <= BROADCAST_ROWS:
+        ends = F.broadcast(ends)
+    full = sets.join(ends, F.col("node") == F.col("of")).groupBy("a", "b").agg(F.collect_list(F.struct("side", "shingles")).alias("ends"))
+    return full.mapInArrow(run, "a long, b long, linked boolean")
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -251,10 +256,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     same = known.groupBy("key").agg(F.min("doc_id").alias("low")).join(known.select("key", "doc_id"), "key").where("low < doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
     links = None
     if not found.isEmpty():
-        sets = written(_sets(docs, found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct(), words), "sets")
+        repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
+        sets = written(_sets(docs, found.select(F.col("a").alias("node")).unionAll(found.select("b")).distinct(), words, repeated), "sets")
         ends = found.select("*", F.col("a").alias("at")).unionAll(found.select("*", F.col("b").alias("at")))
         ranked = ends.withColumn("r", F.row_number().over(Window.partitionBy("at").orderBy(F.desc("agree"), "a", "b"))).where(F.col("r") <= FIRST)
-        first = written(_confirmed(ranked.select("a", "b").distinct(), sets, percent), "tested")
+        best = written(ranked.select("a", "b").distinct(), "best")
+        first = written(_confirmed(best, sets, percent), "tested")
         links = first.where("linked").select("a", "b")
         labels, rest = components(links), found.join(first.select("a", "b"), ["a", "b"], "left_anti")
         for end in ("a", "b"):
