@@ -105,7 +105,7 @@ def _tree_rows(nodes: DataFrame, with_sig: bool) -> DataFrame:
                 full = np.frombuffer(b"".join(sigs), "<u4").reshape(-1, HASHES)
                 for t in range(TREES):
                     turned = np.roll(full, -t * HASHES // TREES, axis=1)
-                    h, columns = np.full(len(full), np.uint64(t + 1) * _MIX), []
+                    h, columns = np.full(len(full), np.uint64(t + 1)) * _MIX, []
                     for d in range(DEPTHS[-1]):
                         h = (h ^ turned[:, d]) * _MIX
                         h ^= h >> np.uint64(31)
