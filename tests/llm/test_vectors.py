@@ -37,6 +37,18 @@ def test_groups(spark, monkeypatch):
     assert vectors.near_duplicates(df.limit(0)).collect() == []
 
 
+def test_dense_group(spark):
+    """A third of the rows in one group of unequal near copies: no link within it is missed."""
+    rng = np.random.default_rng(7)
+    base = rng.normal(size=64)
+    rows = [(k, (base + rng.normal(size=64) * 0.1).tolist(), "a") for k in range(2000)] + [(2000 + k, rng.normal(size=64).tolist(), "a") for k in range(4000)]
+    x = np.array([v for _, v, _ in rows])
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    want = (x @ x.T >= 0.98).sum(1) - 1
+    got = {r.vec_id: r.n_links for r in vectors.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label string").repartition(4)).collect()}
+    assert want.sum() > 2_000_000 and [got[k] for k in range(len(rows))] == want.tolist()
+
+
 def test_top_k(spark, monkeypatch):
     rng = random.Random(6)
     centre = rng.getrandbits(64)
