@@ -6,11 +6,13 @@ HASHES minima. Each of TREES trees orders the nodes by their signature from anot
 DEPTHS[0] values form a region, and a region with more than REGION nodes is cut at a greater depth, each as deep as it
 needs. Inside a region, nodes stand in signature order; candidates are the neighbours by longest common prefix and the
 pairs whose signatures agree enough. In regions of over ALL_PAIRS nodes a node brings its BEST best partners and its
-neighbours only; those come from every tree, and links need only join the same components.
+neighbours only.
 
 Candidates are confirmed on the full sets, the most alike first: a first round tests each node's FIRST best partners, then
 components grow, and a second round tests all candidates whose ends are still in different components, so links that the
-result depends on are never skipped.
+result depends on are never skipped. Then regions of over ALL_PAIRS nodes at DEPTHS[0] that hold several components are gone
+through once more: all their pairs of different components whose signatures agree enough are compared on the full sets, in
+blocks to which the sets travel. The members of a region's largest component are not compared with each other.
 
 Rows that share an id are one node. Rows with a null id link with nothing and have a null component. Null texts are empty.
 """
@@ -31,6 +33,8 @@ REGION = 1024
 ALL_PAIRS, BEST, FIRST = 48, 8, 2
 #: Agreement of signatures from which a pair is tested: 3.6 standard deviations under 0.8.
 MARGIN = 0.18
+#: Shingles of a block of a region that is gone through whole, about.
+BLOCK_SHINGLES = 2_000_000
 BROADCAST_ROWS = 100_000
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -97,14 +101,15 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 def _tree_rows(nodes: DataFrame, with_sig: bool) -> DataFrame:
     """A row for each node and tree: the region's key at each depth, and the signature's low bytes in the tree's order."""
-    names = [f"k{d}" for d in DEPTHS] + (["node", "n", "sig"] if with_sig else [])
+    comp = ["comp"] if "comp" in nodes.columns else []
+    names = [f"k{d}" for d in DEPTHS] + (["node", "n", "sig", "tree"] if with_sig else ["n"]) + comp
 
     def run(batches):
         for batch in batches:
-            for nodes_, sizes, sigs in slices(batch, ["node", "n", "sig"], 2048):
+            for nodes_, sizes, sigs, *of in slices(batch, ["node", "n", "sig", *comp], 2048):
                 full = np.frombuffer(b"".join(sigs), "<u4").reshape(-1, HASHES)
                 for t in range(TREES):
-                    turned = np.roll(full, -t * HASHES // TREES, axis=1)
+                    turned = np.roll(full, -t * HASHES // TREES, axis=1) & np.uint32(255)
                     h, columns = np.full(len(full), np.uint64(t + 1)) * _MIX, []
                     for d in range(DEPTHS[-1]):
                         h = (h ^ turned[:, d]) * _MIX
@@ -112,12 +117,15 @@ def _tree_rows(nodes: DataFrame, with_sig: bool) -> DataFrame:
                         if d + 1 in DEPTHS:
                             columns.append(pa.array(h.view(np.int64)))
                     if with_sig:
-                        low = (turned & np.uint32(255)).astype(np.uint8)
-                        columns += [pa.array(nodes_, pa.int64()), pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in low], pa.binary())]
+                        low = turned.astype(np.uint8)
+                        columns += [pa.array(nodes_, pa.int64()), pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in low], pa.binary()), pa.array(np.full(len(full), t, np.int32))]
+                    else:
+                        columns.append(pa.array(sizes, pa.int64()))
+                    columns += [pa.array(c, pa.int64()) for c in of]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = ", ".join(f"k{d} long" for d in DEPTHS) + (", node long, n long, sig binary" if with_sig else "")
-    return nodes.select("node", "n", "sig").mapInArrow(run, kinds)
+    kinds = ", ".join(f"k{d} long" for d in DEPTHS) + (", node long, n long, sig binary, tree int" if with_sig else ", n long") + ", comp long" * len(comp)
+    return nodes.select("node", "n", "sig", *comp).mapInArrow(run, kinds)
 
 
 def _regions(nodes: DataFrame) -> DataFrame:
@@ -243,6 +251,116 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a long, b long, linked boolean")
 
 
+def _blocks(nodes: DataFrame) -> DataFrame | None:
+    """Rows of regions at DEPTHS[0] with over ALL_PAIRS nodes (node, n, sig, comp) of several components, once for each pair
+    of blocks they are compared in. Blocks hold members of the region's largest component, or others; two of the first kind
+    are not compared. side: 0 or 1, or 2 where a block is compared with itself."""
+    key = F.col(f"k{DEPTHS[0]}").alias("region")
+    held = _tree_rows(nodes, False).groupBy(key, "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+    held = held.groupBy("region").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max(F.struct("rows", "comp", "n")).alias("m"))
+    blocks = lambda rows, n: F.greatest(F.ceil(rows / REGION), F.ceil(n / BLOCK_SHINGLES)).cast("long")
+    held = held.where((F.col("comps") > 1) & (F.col("rows") > ALL_PAIRS) & (F.col("rows") <= REGION)).select(F.col("region").alias("at"), F.col("m.comp").alias("main"), blocks(F.col("rows") - F.col("m.rows"), F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("m.rows"), F.col("m.n")).alias("mains"))
+    held = written(held, "regions")
+    n = held.count()
+    if not n:
+        return None
+    rows = _tree_rows(nodes, True).select(key, "tree", "node", "n", "comp", "sig").join(F.broadcast(held) if n <= BROADCAST_ROWS else held, F.col("region") == F.col("at"))
+    is_main = F.col("comp") == F.col("main")
+    own = F.when(is_main, F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
+    rows = rows.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
+    side = F.when(F.col("own") == F.col("o"), 2).otherwise((F.col("own") > F.col("o")).cast("int"))
+    return rows.select(F.xxhash64("region", F.least("own", "o"), F.greatest("own", "o")).alias("block"), side.alias("side"), "tree", "node", "n", "comp", "sig")
+
+
+def _in_blocks(rows: DataFrame, parts: int, of, schema: str) -> DataFrame:
+    """of(rows of one block, as columns) for each block of rows."""
+
+    def run(batches):
+        held: list = []
+        for batch in batches:
+            for row in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if held and held[-1][0] != row[0]:
+                    yield from of(*zip(*held, strict=True))
+                    held = []
+                held.append(row)
+        if held:
+            yield from of(*zip(*held, strict=True))
+
+    return rows.repartition(parts, "block").sortWithinPartitions("block", "side", "node").mapInArrow(run, schema)
+
+
+def _open_pairs(side, tree, node, n, comp, sig, least: float, share: float):
+    """Of each row of a block on side 0 (or 2), in turn: its place and those it may be alike, in another component and in no region of an earlier tree."""
+    own, other = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+    for k in own.tolist():
+        same = sig[other] == sig[k]
+        some = (comp[other] != comp[k]) & (node[other] != node[k]) & (same.sum(1) >= least * HASHES)
+        some &= np.minimum(n[other], n[k]) >= share * np.maximum(n[other], n[k]) - 1e-9
+        if some.any():
+            places = other[some]
+            trees = np.roll(same[some], int(tree[k]) * HASHES // TREES, axis=1).reshape(-1, TREES, HASHES // TREES)[:, :, : DEPTHS[0]].all(2)
+            places = places[trees.argmax(1) == tree[k]]
+            yield k, places[places > k] if side[k] == 2 else places
+
+
+def _links_between(docs: DataFrame, nodes: DataFrame, parts: int, words: int, percent: int) -> DataFrame | None:
+    """Links (a, b) that join different components (comp) of nodes, of whole regions."""
+    cut = percent / 100
+    blocks = _blocks(nodes)
+    if blocks is None:
+        return None
+
+    def arrays(side, tree, node, n, comp, sig):
+        return (*(np.array(c, np.int64) for c in (side, tree, node, n, comp)), np.frombuffer(b"".join(sig), np.uint8).reshape(-1, HASHES))
+
+    def open_rows(block, *columns):
+        keep = set()
+        for k, places in _open_pairs(*arrays(*columns), cut - MARGIN, cut):
+            if len(places):
+                keep.update([k, *places.tolist()])
+        if keep:
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array([c[k] for k in sorted(keep)], t) for c, t in zip((block, *columns), kinds, strict=True)], ["block", "side", "tree", "node", "n", "comp", "sig"])
+
+    def linked(block, side, tree, node, n, comp, sig, shingles):
+        sets = [np.frombuffer(s, "<u8") for s in shingles]
+        ids, place = np.unique(np.concatenate(sets), return_inverse=True)
+        size = np.array([len(s) for s in sets])
+        starts = np.cumsum(size) - size
+        has, root, out = np.zeros(len(ids), np.int64), {}, []
+
+        def find(x):
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = x = root[up]
+            return x
+
+        for k, places in _open_pairs(*arrays(side, tree, node, n, comp, sig), cut - MARGIN, cut):
+            places = [p for p in places.tolist() if find(comp[p]) != find(comp[k])]
+            if not places:
+                continue
+            mine = place[starts[k] : starts[k] + size[k]]
+            has[mine] = 1
+            for p in places:
+                if find(comp[p]) == find(comp[k]):
+                    continue
+                both = int(has[place[starts[p] : starts[p] + size[p]]].sum())
+                if both and 100 * both >= percent * (size[k] + size[p] - both):
+                    out.append((node[k], node[p]))
+                    root[find(comp[p])] = find(comp[k])
+            has[mine] = 0
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], ["a", "b"])
+
+    rows = written(_in_blocks(blocks, parts, open_rows, "block long, side int, tree int, node long, n long, comp long, sig binary"), "blocks")
+    if rows.isEmpty():
+        return None
+    sets = _sets(docs, rows.select("node").distinct(), words, True).withColumnRenamed("node", "of")
+    full = rows.join(sets, F.col("node") == F.col("of")).drop("of")
+    links = written(_in_blocks(full, parts, linked, "a long, b long"), "between")
+    discard(rows)
+    return links
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id and kept of each row."""
     rows = written(signed(docs, words), "signatures")
@@ -274,6 +392,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         discard(sets)
     edges = same if links is None else same.unionAll(links)
     merged = components(edges) if links is not None or not same.isEmpty() else None
+    labelled = nodes.withColumn("comp", F.col("node"))
+    if merged is not None:
+        labelled = nodes.join(merged.withColumnRenamed("node", "in"), F.col("node") == F.col("in"), "left").select("node", "n", "sig", F.coalesce("component", "node").alias("comp"))
+    more = _links_between(docs, written(labelled, "labelled"), parts, words, percent)
+    if more is not None and not more.isEmpty():
+        merged = components(edges.unionAll(more))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"))
     if merged is None:
         out = out.withColumn("component_id", F.col("doc_id"))

@@ -59,6 +59,24 @@ def test_edges(spark, monkeypatch):
     assert near_duplicates.near_duplicates(df.limit(0), 2).collect() == []
 
 
+def test_weak_link_to_dense_group(spark):
+    """Documents whose only links lead to a few members of a dense group, which have nearer partners themselves."""
+    rng = random.Random(5)
+    base, rows = [f"w{k}" for k in range(400)], []
+    for k in range(500):
+        w = list(base)
+        for at in rng.sample(range(400), 24):
+            w[at] = f"v{rng.randrange(10**9)}"
+        rows.append((k, " ".join(w)))
+    for k in range(40):  # near one member only
+        w = rows[k][1].split()
+        for at in rng.sample(range(400), 41):
+            w[at] = f"u{rng.randrange(10**9)}"
+        rows.append((1000 + k, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert sorted(map(tuple, near_duplicates.near_duplicates(df, 1).collect())) == brute(rows, 1, 80)
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, 300 + k) for k in range(50)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)]
