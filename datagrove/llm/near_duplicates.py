@@ -10,8 +10,8 @@ neighbours only.
 
 Candidates are confirmed on the full sets, the most alike first: a first round tests each node's FIRST best partners, then
 components grow, and a second round tests all candidates whose ends are still in different components, so links that the
-result depends on are never skipped. Then regions of over ALL_PAIRS nodes at DEPTHS[0] that hold several components are gone
-through once more: all their pairs of different components whose signatures agree enough are compared on the full sets, in
+result depends on are never skipped. Then regions of over ALL_PAIRS nodes at DEPTHS[0] that hold several components, whatever
+their size and however deep they were cut, are gone through once more: all their pairs of different components whose signatures agree enough are compared on the full sets, in
 blocks to which the sets travel. The members of a region's largest component are not compared with each other.
 
 Rows that share an id are one node. Rows with a null id link with nothing and have a null component. Null texts are empty.
@@ -259,7 +259,7 @@ def _blocks(nodes: DataFrame) -> DataFrame | None:
     held = _tree_rows(nodes, False).groupBy(key, "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
     held = held.groupBy("region").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max(F.struct("rows", "comp", "n")).alias("m"))
     blocks = lambda rows, n: F.greatest(F.ceil(rows / REGION), F.ceil(n / BLOCK_SHINGLES)).cast("long")
-    held = held.where((F.col("comps") > 1) & (F.col("rows") > ALL_PAIRS) & (F.col("rows") <= REGION)).select(F.col("region").alias("at"), F.col("m.comp").alias("main"), blocks(F.col("rows") - F.col("m.rows"), F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("m.rows"), F.col("m.n")).alias("mains"))
+    held = held.where((F.col("comps") > 1) & (F.col("rows") > min(ALL_PAIRS, REGION))).select(F.col("region").alias("at"), F.col("m.comp").alias("main"), blocks(F.col("rows") - F.col("m.rows"), F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("m.rows"), F.col("m.n")).alias("mains"))
     held = written(held, "regions")
     n = held.count()
     if not n:

@@ -77,6 +77,24 @@ def test_weak_link_to_dense_group(spark):
     assert sorted(map(tuple, near_duplicates.near_duplicates(df, 1).collect())) == brute(rows, 1, 80)
 
 
+def test_regions_forced_deep(spark, monkeypatch):
+    """Pairs at 0.8 to 0.85 of templated texts are found whatever the size from which regions are cut deeper."""
+    rng = random.Random(11)
+    rows = []
+    for k in range(120):
+        own = [f"t{n}" for n in range(240)] + [f"d{k}x{n}" for n in range(60)]
+        for side in range(2):
+            w = list(own)
+            for at in rng.sample(range(300), 14):
+                w[at] = f"u{rng.randrange(10**9)}"
+            rows.append((2 * k + side, " ".join(w)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(near_duplicates, "REGION", 8)
+    got = sorted(map(tuple, near_duplicates.near_duplicates(df, 1).collect()))
+    want = brute(rows, 1, 80)
+    assert 40 < sum(r[3] for r in want) < len(rows) - 40 and got == want
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, 300 + k) for k in range(50)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)]
