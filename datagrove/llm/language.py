@@ -9,7 +9,7 @@ For each row and language l:  P(l | row)  ~  P(text | l) * P(declared | l) * P(s
 * host: a prior smoothed through the hierarchy host -> domain -> all rows, each level counting with the strength
   STRENGTH of the level above, from grouped aggregations of the languages that the texts alone point to.
 
-The languages are the most frequent declared ones, MAX_LANGUAGES at most, that at least MIN_SHARE of the declared rows have.
+The languages are all declared ones. Their trigram counts are held sparsely, and texts are scored for LANGUAGES_AT_ONCE at a time.
 kept: the text has a letter or digit and the best language's probability is at least MIN_PROBABILITY. Null texts count as
 empty; empty texts are decided by the other evidence, and not kept. A table in which no row declares a language gives null
 languages, probability 0 and keeps nothing.
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from .common import written
 
 SLOTS = 1 << 16
-MAX_LANGUAGES = 64
-MIN_SHARE = 0.001
+LANGUAGES_AT_ONCE = 64
+_ENTRIES_AT_ONCE = 1 << 22
 EVIDENCE = 80
 STRENGTH = 10.0
 MIN_PROBABILITY = 0.5
@@ -61,44 +61,67 @@ def _texts(batch, names: list[str]):
 
 
 def languages(rows: DataFrame) -> list[str]:
-    counts = rows.where("declared is not null").groupBy("declared").count().orderBy(F.desc("count"), "declared").limit(MAX_LANGUAGES).collect()
-    total = sum(r["count"] for r in counts)
-    return sorted(r.declared for r in counts if r["count"] >= MIN_SHARE * total)
+    return sorted(r.declared for r in rows.where("declared is not null").select("declared").distinct().collect())
 
 
-def train(rows: DataFrame, known: list[str]) -> np.ndarray:
-    """Log P(trigram slot | language), slots x languages; the counts have SLOTS * len(known) rows at most."""
+def train(rows: DataFrame, known: list[str]) -> list[tuple]:
+    """By LANGUAGES_AT_ONCE languages: log P of slots not met, by language; slots met, their language and log P."""
     place = {l: k for k, l in enumerate(known)}
 
     def run(batches):
-        counts = np.zeros((len(known), SLOTS), np.int64)
+        def merged(keys, counts):
+            keys, at = np.unique(np.concatenate(keys), return_inverse=True)
+            return [keys], [np.bincount(at, np.concatenate(counts)).astype(np.int64)]
+
+        keys, counts = [], []
         for batch in batches:
             for declared, texts in _texts(batch, ["declared", "text"]):
                 slots, n = _trigrams(texts)
                 language = np.repeat(np.array([place[d] for d in declared], np.int64), n)
-                counts += np.bincount(language * SLOTS + slots, minlength=len(known) * SLOTS).reshape(len(known), SLOTS)
-        for k in np.flatnonzero(counts.any(1)):
-            slots = np.flatnonzero(counts[k])
-            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(slots), k, np.int32)), pa.array(slots.astype(np.int32)), pa.array(counts[k][slots])], ["l", "slot", "n"])
-
-    found = rows.where(F.col("declared").isin(known)).select("declared", "text").mapInArrow(run, "l int, slot int, n long").groupBy("l", "slot").agg(F.sum("n").alias("n")).toArrow()
-    counts = np.full((SLOTS, len(known)), 0.5)
-    counts[found.column("slot").to_numpy(), found.column("l").to_numpy()] += found.column("n").to_numpy()
-    return np.log(counts / counts.sum(0)).astype("<f4")
-
-
-def likelihoods(rows: DataFrame, table: np.ndarray) -> DataFrame:
+                found, times = np.unique(language * SLOTS + slots, return_counts=True)
+                keys.append(found)
+                counts.append(times)
+                if len(keys) > 1 and sum(map(len, keys[1:])) > max(_ENTRIES_AT_ONCE, len(keys[0])):
+                    keys, counts = merged(keys, counts)
+        if keys:
+            (keys,), (counts,) = merged(keys, counts)
+            for at in range(0, len(keys), SLOTS):
+                some = keys[at : at + SLOTS]
+                yield pa.RecordBatch.from_arrays([pa.array((some // SLOTS).astype(np.int32)), pa.array((some % SLOTS).astype(np.int32)), pa.array(counts[at : at + SLOTS])], ["l", "slot", "n"])
+
+    found = rows.where("declared is not null").select("declared", "text").mapInArrow(run, "l int, slot int, n long").groupBy("l", "slot").agg(F.sum("n").alias("n")).toArrow()
+    l, slot, n = (found.column(c).to_numpy() for c in ("l", "slot", "n"))
+    whole = np.bincount(l, n, len(known)) + 0.5 * SLOTS
+    out = []
+    for at in range(0, len(known), LANGUAGES_AT_ONCE):
+        some = (l >= at) & (l < at + LANGUAGES_AT_ONCE)
+        out.append((np.log(0.5 / whole[at : at + LANGUAGES_AT_ONCE]), slot[some].astype(np.uint16), (l[some] - at).astype(np.uint8), np.log((n[some] + 0.5) / whole[l[some]]).astype("<f4")))
+    return out
+
+
+def _dense(group: tuple) -> np.ndarray:
+    unmet, slot, l, met = group
+    table = np.tile(unmet.astype("<f4"), (SLOTS, 1))
+    table[slot, l] = met
+    return table
+
+
+def likelihoods(rows: DataFrame, groups: list[tuple]) -> DataFrame:
     """rows with ll, the text's log likelihood by language, and has_text instead of the text."""
     rest = [f for f in rows.schema if f.name != "text"]
 
     def run(batches):
+        kept = [_dense(groups[0])] if len(groups) == 1 else None
         for batch in batches:
             at = 0
             for (texts,) in _texts(batch, ["text"]):
                 slots, n = _trigrams(texts)
-                sums = np.zeros((len(texts), table.shape[1]))
+                sums = np.zeros((len(texts), sum(len(g[0]) for g in groups)))
                 if len(slots):
-                    sums[n > 0] = np.add.reduceat(table[slots], (np.cumsum(n) - n)[n > 0], axis=0)
+                    first = 0
+                    for table in kept or map(_dense, groups):
+                        sums[n > 0, first : first + table.shape[1]] = np.add.reduceat(table[slots], (np.cumsum(n) - n)[n > 0], axis=0)
+                        first += table.shape[1]
                 ll = sums / np.maximum(n, 1)[:, None] * np.minimum(n, EVIDENCE)[:, None]
                 part = batch.slice(at, len(texts))
                 at += len(texts)
@@ -123,14 +146,15 @@ def identify(rows: DataFrame) -> DataFrame:
     scored = written(likelihoods(rows, train(rows, known)), "likelihoods").withColumn("points_to", F.when(F.col("has_text"), _argmax(F.col("ll"))))
     size = len(known)
 
-    counts = [F.sum((F.col("points_to") == k + 1).cast("long")).alias(f"c{k}") for k in range(size)]  # rows that point to each language
-
     def by(name):
-        full = scored.where("points_to is not null").where(F.col(name).isNotNull()).groupBy(name).agg(*counts)
-        return full.select(F.col(name).alias(f"k_{name}"), F.array(*[F.col(f"c{k}").cast("double") for k in range(size)]).alias(f"n_{name}"))
-
-    whole = scored.where("points_to is not null").agg(*counts).first()
-    total = np.array([float(v or 0) for v in whole]) + 1
+        full = scored.where("points_to is not null").where(F.col(name).isNotNull()).groupBy(name, "points_to").count()
+        full = full.groupBy(F.col(name).alias(f"k_{name}")).agg(F.map_from_entries(F.collect_list(F.struct("points_to", F.col("count").cast("double")))).alias("__counts"))
+        places = F.sequence(F.lit(1), F.lit(size))
+        return full.select(f"k_{name}", F.transform(places, lambda k: F.coalesce(F.try_element_at(F.col("__counts"), k), F.lit(0.0))).alias(f"n_{name}"))
+
+    total = np.ones(size)  # rows that point to each language, and one
+    for r in scored.where("points_to is not null").groupBy("points_to").count().collect():
+        total[r.points_to - 1] += r["count"]
     prior = F.array(*[F.lit(float(p)) for p in total / total.sum()])
 
     def smoothed(n: Column, above: Column) -> Column:

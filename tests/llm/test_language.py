@@ -1,3 +1,5 @@
+import random
+
 from datagrove.llm import language
 
 SF = "/root/testdata/sf0.01"
@@ -24,6 +26,18 @@ def test_evidence_moves_short_texts(spark):
     assert {r.kept for r in language.identify(df.where("doc_id = 203")).collect()} == {False}
 
 
+def test_rare_and_many_languages(spark):
+    """70 languages, one of them with under 0.1% of the declared rows."""
+    rng = random.Random(3)
+    words = [["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(7)) for _ in range(12)] for _ in range(70)]
+    rows = [(k, None, f"l{k % 69:02d}", None, None, None, " ".join(rng.choices(words[k % 69], k=12))) for k in range(69 * 60)]
+    rows += [(10_000 + k, None, "l69", None, None, None, " ".join(rng.choices(words[69], k=12))) for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id long, page_id long, declared string, suffix string, host string, domain string, text string")
+    got = language.identify(df).collect()
+    assert len(got) == len(rows) and sum(r.language == r.declared for r in got) >= 0.99 * len(rows)
+    assert {(r.language, r.kept) for r in got if r.declared == "l69"} == {("l69", True)}
+
+
 def test_page_evidence(spark):
     df = spark.createDataFrame([(1, "https://u@m.a.example.org:8/fr/p?q", '<html class="x" lang="FR-be"><script>if (a<b) {}</script><p>Un  mot</p>'), (2, None, None), (3, "junk", "<html>")], "page_id long, url string, html string")
     rows = {r.page_id: r for r in language.from_pages(df).collect()}
