@@ -6,11 +6,15 @@ import os
 import uuid
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows handled together inside one Arrow batch, so that a Python worker holds the words of few texts only.
 ROWS_AT_ONCE = 384
+#: Bytes of such rows, but for a single longer row.
+BYTES_AT_ONCE = 4 << 20
 #: Entries a worker's word cache may hold before it starts over with the words in use.
 CACHE_ENTRIES = 600_000
 #: Stands for a null id where ids are ordered: after all others.
@@ -18,13 +22,18 @@ LAST_ID = np.iinfo(np.int64).max
 
 
 class Recent:
-    """A bounded cache in two generations: what the older one holds moves up when it is asked for, the rest is forgotten."""
+    """A cache bounded in entries and bytes, in two generations: what the older one holds moves up when it is asked for, the
+    rest is forgotten. Keys of over LONGEST characters stay until the next call only."""
+
+    LONGEST = 64
 
     def __init__(self, entries: int = CACHE_ENTRIES):
-        self.entries, self.new, self.old = entries, {}, {}
+        self.entries, self.new, self.old, self.long = entries, {}, {}, []
 
     def missing(self, keys: set) -> list:
-        """The keys that new doesn't hold afterwards."""
+        """The keys that new doesn't hold afterwards; the caller puts them there."""
+        for k in self.long:
+            self.new.pop(k, None)
         if len(self.new) > self.entries:
             self.new, self.old = {}, self.new
         new, old, out = self.new, self.old, []
@@ -33,6 +42,7 @@ class Recent:
                 out.append(k)
             else:
                 new[k] = v
+        self.long = [k for k in out if len(k) > self.LONGEST]
         return out
 
 
@@ -83,10 +93,23 @@ def crc_rest(doc_id, modulus: int):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % modulus
 
 
-def slices(batch, names: list[str], rows: int = ROWS_AT_ONCE):
+def pieces(batch, rows: int, size: int):
+    """An Arrow batch in slices of up to rows rows and about size bytes; a row is never cut."""
+    ends = np.zeros(batch.num_rows, np.int64)
+    for column in batch.columns:
+        if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+            ends += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(ends), 0
+    while at < batch.num_rows:
+        before = int(ends[at - 1]) if at else 0
+        stop = min(at + rows, max(at + 1, int(np.searchsorted(ends, before + size, side="right"))))
+        yield batch.slice(at, stop - at)
+        at = stop
+
+
+def slices(batch, names: list[str], rows: int = ROWS_AT_ONCE, size: int = BYTES_AT_ONCE):
     """Column lists of an Arrow batch, a few rows at a time."""
-    for at in range(0, batch.num_rows, rows):
-        part = batch.slice(at, rows)
+    for part in pieces(batch, rows, size):
         yield [part.column(part.schema.get_field_index(n)).to_pylist() for n in names]
 
 
