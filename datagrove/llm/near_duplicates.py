@@ -11,8 +11,8 @@ neighbours only.
 Candidates are confirmed on the full sets, the most alike first: a first round tests each node's FIRST best partners, then
 components grow, and a second round tests all candidates whose ends are still in different components, so links that the
 result depends on are never skipped. Then regions of over ALL_PAIRS nodes at DEPTHS[0] that hold several components, whatever
-their size and however deep they were cut, are gone through once more: all their pairs of different components whose signatures agree enough are compared on the full sets, in
-blocks to which the sets travel. The members of a region's largest component are not compared with each other.
+their size and however deep they were cut, are gone through once more: all their pairs of different components whose
+signatures agree enough are compared on the full sets, in blocks to which the sets travel. The members of a region's largest component are not compared with each other.
 
 Rows that share an id are one node. Rows with a null id link with nothing and have a null component. Null texts are empty.
 """
@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, discard, parts_for, slices, written
+from .common import discard, parts_for, slices, written
 from .components import components
 
 HASHES, TREES, DEPTHS = 64, 16, (4, 8, 12, 16)
@@ -36,6 +36,7 @@ MARGIN = 0.18
 #: Shingles of a block of a region that is gone through whole, about.
 BLOCK_SHINGLES = 2_000_000
 BROADCAST_ROWS = 100_000
+SALTS = 16
 _RNG = np.random.default_rng(20)
 _A = _RNG.integers(1, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _RNG.integers(0, 1 << 63, HASHES, np.uint64)
@@ -46,20 +47,13 @@ class Shingles:
     """Sorted distinct 64-bit shingle hashes of texts."""
 
     def __init__(self, words: int):
-        self.words, self.cache = words, {}
+        self.words = words
 
     def of(self, text: str | None) -> np.ndarray:
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
         if not words:
             return np.zeros(0, np.uint64)
-        cache = self.cache
-        if len(cache) > CACHE_ENTRIES:
-            cache.clear()
-        try:
-            raw = b"".join(map(cache.__getitem__, words))
-        except KeyError:
-            cache.update({w: xxhash.xxh3_64_digest(w) for w in set(words).difference(cache)})
-            raw = b"".join(map(cache.__getitem__, words))
+        raw = b"".join(map(xxhash.xxh3_64_digest, words))
         h = np.frombuffer(raw, "<u8")
         k = min(self.words, len(words))
         out = np.full(len(words) - k + 1, np.uint64(k), np.uint64)
@@ -101,12 +95,11 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
 
 def _tree_rows(nodes: DataFrame, with_sig: bool) -> DataFrame:
     """A row for each node and tree: the region's key at each depth, and the signature's low bytes in the tree's order."""
-    comp = ["comp"] if "comp" in nodes.columns else []
-    names = [f"k{d}" for d in DEPTHS] + (["node", "n", "sig", "tree"] if with_sig else ["n"]) + comp
+    names = [f"k{d}" for d in DEPTHS] + (["node", "n", "sig", "tree"] if with_sig else [])
 
     def run(batches):
         for batch in batches:
-            for nodes_, sizes, sigs, *of in slices(batch, ["node", "n", "sig", *comp], 2048):
+            for nodes_, sizes, sigs in slices(batch, ["node", "n", "sig"], 2048):
                 full = np.frombuffer(b"".join(sigs), "<u4").reshape(-1, HASHES)
                 for t in range(TREES):
                     turned = np.roll(full, -t * HASHES // TREES, axis=1) & np.uint32(255)
@@ -119,27 +112,37 @@ def _tree_rows(nodes: DataFrame, with_sig: bool) -> DataFrame:
                     if with_sig:
                         low = turned.astype(np.uint8)
                         columns += [pa.array(nodes_, pa.int64()), pa.array(sizes, pa.int64()), pa.array([r.tobytes() for r in low], pa.binary()), pa.array(np.full(len(full), t, np.int32))]
-                    else:
-                        columns.append(pa.array(sizes, pa.int64()))
-                    columns += [pa.array(c, pa.int64()) for c in of]
                     yield pa.RecordBatch.from_arrays(columns, names)
 
-    kinds = ", ".join(f"k{d} long" for d in DEPTHS) + (", node long, n long, sig binary, tree int" if with_sig else ", n long") + ", comp long" * len(comp)
-    return nodes.select("node", "n", "sig", *comp).mapInArrow(run, kinds)
+    kinds = ", ".join(f"k{d} long" for d in DEPTHS) + (", node long, n long, sig binary, tree int" if with_sig else "")
+    return nodes.select("node", "n", "sig").mapInArrow(run, kinds)
 
 
-def _regions(nodes: DataFrame) -> DataFrame:
+def _crowded(nodes: DataFrame) -> DataFrame:
+    """key and count of the regions at DEPTHS[0] whose pairs are not all candidates."""
+    counts = _tree_rows(nodes, False).groupBy(F.col(f"k{DEPTHS[0]}").alias("key")).count()
+    return written(counts.where(F.col("count") > min(ALL_PAIRS, REGION)), "crowded")
+
+
+def _small(df: DataFrame, rows: int) -> DataFrame:
+    """df, broadcast if it has few rows."""
+    return F.broadcast(df) if rows <= BROADCAST_ROWS else df
+
+
+def _regions(nodes: DataFrame, crowded: DataFrame) -> DataFrame:
     """The rows of _tree_rows with the key of the region they are compared in."""
     rows, counted, levels = _tree_rows(nodes, True), _tree_rows(nodes, False), []
     for d in DEPTHS:
         if levels:  # only what was too large a depth above
             above, large = levels[-1]
             counted = counted.join(large.select(F.col("key").alias("over")), F.col(f"k{above}") == F.col("over"), "left_semi")
-        large = written(counted.groupBy(F.col(f"k{d}").alias("key")).count().where(F.col("count") > REGION), "regions")
+            large = written(counted.groupBy(F.col(f"k{d}").alias("key")).count().where(F.col("count") > REGION), "regions")
+        else:
+            large = crowded.where(F.col("count") > REGION)
         n = large.count()
         if not n:
             break
-        levels.append((d, F.broadcast(large) if n <= BROADCAST_ROWS else large))
+        levels.append((d, _small(large, n)))
     region = F.col(f"k{DEPTHS[min(len(levels), len(DEPTHS) - 1)]}")
     for d, large in reversed(levels):
         rows = rows.join(large.select(F.col("key").alias(f"l{d}"), F.col("count").alias(f"c{d}")), F.col(f"k{d}") == F.col(f"l{d}"), "left")
@@ -223,6 +226,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> Data
                 sets = [shingles.of(t) for t in texts]
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array([s.astype("<u8").tobytes() for s in sets], pa.binary())], ["node", "shingles"])
 
+    nodes = _small(nodes, nodes.count())
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
     out = wanted.mapInArrow(run, "node long, shingles binary")
     return out.dropDuplicates(["node", "shingles"]) if repeated else out
@@ -251,20 +255,25 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return full.mapInArrow(run, "a long, b long, linked boolean")
 
 
-def _blocks(nodes: DataFrame) -> DataFrame | None:
-    """Rows of regions at DEPTHS[0] with over ALL_PAIRS nodes (node, n, sig, comp) of several components, once for each pair
-    of blocks they are compared in. Blocks hold members of the region's largest component, or others; two of the first kind
-    are not compared. side: 0 or 1, or 2 where a block is compared with itself."""
-    key = F.col(f"k{DEPTHS[0]}").alias("region")
-    held = _tree_rows(nodes, False).groupBy(key, "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
+def _blocks(nodes: DataFrame, crowded: DataFrame, moved: DataFrame) -> DataFrame | None:
+    """Rows of crowded regions (node, n, sig, comp) of several components, once for each pair of blocks they are compared in.
+    moved: component of the nodes that have another one than themselves. Blocks hold members of the region's largest
+    component, or others; two of the first kind are not compared. side: 0 or 1, or 2 where a block is compared with itself."""
+    within = crowded.count()
+    if not within:
+        return None
+    rows = _tree_rows(nodes, True).select(F.col(f"k{DEPTHS[0]}").alias("region"), "tree", "node", "n", "sig")
+    rows = rows.join(_small(crowded.select("key"), within), F.col("region") == F.col("key"), "left_semi")
+    rows = written(rows.join(moved, F.col("node") == F.col("in"), "left").select("region", "tree", "node", "n", "sig", F.coalesce("component", "node").alias("comp")), "crowds")
+    held = rows.groupBy("region", "comp").agg(F.count(F.lit(1)).alias("rows"), F.sum("n").alias("n"))
     held = held.groupBy("region").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("comps"), F.sum("n").alias("all"), F.max(F.struct("rows", "comp", "n")).alias("m"))
     blocks = lambda rows, n: F.greatest(F.ceil(rows / REGION), F.ceil(n / BLOCK_SHINGLES)).cast("long")
-    held = held.where((F.col("comps") > 1) & (F.col("rows") > min(ALL_PAIRS, REGION))).select(F.col("region").alias("at"), F.col("m.comp").alias("main"), blocks(F.col("rows") - F.col("m.rows"), F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("m.rows"), F.col("m.n")).alias("mains"))
+    held = held.where(F.col("comps") > 1).select(F.col("region").alias("at"), F.col("m.comp").alias("main"), blocks(F.col("rows") - F.col("m.rows"), F.col("all") - F.col("m.n")).alias("others"), blocks(F.col("m.rows"), F.col("m.n")).alias("mains"))
     held = written(held, "regions")
     n = held.count()
     if not n:
         return None
-    rows = _tree_rows(nodes, True).select(key, "tree", "node", "n", "comp", "sig").join(F.broadcast(held) if n <= BROADCAST_ROWS else held, F.col("region") == F.col("at"))
+    rows = rows.join(_small(held, n), F.col("region") == F.col("at"))
     is_main = F.col("comp") == F.col("main")
     own = F.when(is_main, F.col("others") + F.pmod(F.xxhash64("node"), F.col("mains"))).otherwise(F.pmod(F.xxhash64("node"), F.col("others")))
     rows = rows.withColumn("own", own).withColumn("o", F.explode(F.sequence(F.lit(0).cast("long"), F.when(is_main, F.col("others")).otherwise(F.col("others") + F.col("mains")) - 1)))
@@ -303,10 +312,10 @@ def _open_pairs(side, tree, node, n, comp, sig, least: float, share: float):
             yield k, places[places > k] if side[k] == 2 else places
 
 
-def _links_between(docs: DataFrame, nodes: DataFrame, parts: int, words: int, percent: int) -> DataFrame | None:
+def _links_between(docs: DataFrame, nodes: DataFrame, crowded: DataFrame, moved: DataFrame, parts: int, words: int, percent: int) -> DataFrame | None:
     """Links (a, b) that join different components (comp) of nodes, of whole regions."""
     cut = percent / 100
-    blocks = _blocks(nodes)
+    blocks = _blocks(nodes, crowded, moved)
     if blocks is None:
         return None
 
@@ -369,9 +378,14 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     nodes = written(groups, "nodes")
     parts = parts_for(docs)
     cut = percent / 100
-    found = written(_candidates(_regions(nodes), parts, cut - MARGIN, cut), "candidates")
-    # Equal sets under several ids hang together by their least id.
-    same = known.groupBy("key").agg(F.min("doc_id").alias("low")).join(known.select("key", "doc_id"), "key").where("low < doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b"))
+    crowded = _crowded(nodes)
+    found = written(_candidates(_regions(nodes, crowded), parts, cut - MARGIN, cut), "candidates")
+    # Equal sets under several ids hang together by their least id. Many copies of one set are dealt over SALTS tasks.
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int").alias("salt")
+    lows = known.groupBy("key").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low < high")
+    lows = lows.select("key", "low", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
+    same = known.select("key", "doc_id", salt).join(lows, ["key", "salt"]).where("low < doc_id").select(F.col("low").alias("a"), F.col("doc_id").alias("b")).distinct()
+    same = written(same, "copies")
     links = None
     if not found.isEmpty():
         repeated = not known.groupBy("doc_id").count().where("count > 1").isEmpty()
@@ -392,10 +406,13 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         discard(sets)
     edges = same if links is None else same.unionAll(links)
     merged = components(edges) if links is not None or not same.isEmpty() else None
-    labelled = nodes.withColumn("comp", F.col("node"))
-    if merged is not None:
-        labelled = nodes.join(merged.withColumnRenamed("node", "in"), F.col("node") == F.col("in"), "left").select("node", "n", "sig", F.coalesce("component", "node").alias("comp"))
-    more = _links_between(docs, written(labelled, "labelled"), parts, words, percent)
+    if merged is None:
+        moved = nodes.select(F.col("node").alias("in"), F.col("node").alias("component")).limit(0)
+    else:
+        moved = written(merged.where("node <> component").select(F.col("node").alias("in"), "component"), "moved")
+        if moved.count() <= BROADCAST_ROWS:
+            moved = F.broadcast(moved)
+    more = _links_between(docs, nodes, crowded, moved, parts, words, percent)
     if more is not None and not more.isEmpty():
         merged = components(edges.unionAll(more))
     out = rows.select("doc_id", F.col("n").alias("n_shingles"))

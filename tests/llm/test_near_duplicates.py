@@ -55,7 +55,7 @@ def test_edges(spark, monkeypatch):
     assert got == set(brute(rows, 2, 80))
     for name, value in (("REGION", 8), ("ALL_PAIRS", 4), ("BEST", 2)):
         monkeypatch.setattr(near_duplicates, name, value)
-    assert near_duplicates.near_duplicates(df, 2).count() == len(rows)
+    assert {tuple(r) for r in near_duplicates.near_duplicates(df, 2).collect()} == set(brute(rows, 2, 80))
     assert near_duplicates.near_duplicates(df.limit(0), 2).collect() == []
 
 
@@ -95,6 +95,17 @@ def test_regions_forced_deep(spark, monkeypatch):
     assert 40 < sum(r[3] for r in want) < len(rows) - 40 and got == want
 
 
+def test_one_boilerplate_family(spark):
+    """1,600 documents that share most of their words: pairs at 0.818, all others at 0.695."""
+    rows = []
+    for k in range(800):
+        own = [f"t{n}" for n in range(82)] + [f"d{k}x{n}" for n in range(8)]
+        rows += [(2 * k + side, " ".join(own + [f"u{k}y{side}z{n}" for n in range(10)])) for side in range(2)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = near_duplicates.near_duplicates(df, 1).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(k, k - k % 2) for k in range(1600)}
+
+
 def test_components(spark, monkeypatch):
     rng = random.Random(9)
     edges = [(k, k + 1) for k in range(100, 160)] + [(5, 300 + k) for k in range(50)] + [(rng.randrange(1000, 1200), rng.randrange(1000, 1200)) for _ in range(90)]
