@@ -8,14 +8,15 @@ starts at any window with the exact deficits, and windows run across partitions
 queue that runs out leaves the round, and the others share the windows in the proportions of their weights.
 
 The largest max_queues sources have a queue of their own, further ones are dealt over as many shared queues by hash.
-Null sources form a source. Null texts count as empty: only the end id. Repeated rows are documents of their own.
+With weights, every source named has a queue of its own too.
+Null sources form a source. Null texts count as empty: only the end id. Repeated rows, null ids and ties are documents of their
+own, in the order of the table's parts; an empty table gives no pieces.
 """
 
 from __future__ import annotations
 
 import heapq
 import zlib
-from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,10 @@ WINDOW = 4096
 MAX_QUEUES = 1024
 #: Rows of the table of queue offsets up to which it is broadcast (40 bytes each).
 BROADCAST_ROWS = 50_000
-_KEPT_WINDOWS = 8192
+#: Numbers (of 8 bytes, two for each window and queue) that a task keeps of the windows it passed.
+KEPT_NUMBERS = 1 << 21
+#: Weights are shares of one in this many parts.
+WEIGHT_PARTS = 1 << 40
 
 
 def _turn(half_tokens: int, weight: int) -> int:
@@ -93,19 +97,20 @@ class Windows:
 
     def __init__(self, schedule: Schedule, window: int):
         self.schedule, self.window, self.known, self.before = schedule, window, {}, {}
+        self.kept = max(64, KEPT_NUMBERS // (2 * max(1, len(schedule.tokens))))
 
-    def given(self, w: int) -> list[int]:
+    def given(self, w: int) -> np.ndarray:
         if (found := self.known.get(w)) is None:
-            if len(self.known) > _KEPT_WINDOWS:
+            if len(self.known) > self.kept:
                 self.known.clear()
                 self.before.clear()
-            found = self.known[w] = self.schedule.given(min(w * self.window, self.schedule.total))
+            found = self.known[w] = np.array(self.schedule.given(min(w * self.window, self.schedule.total)), np.int64)
         return found
 
-    def ahead(self, w: int) -> list[int]:
+    def ahead(self, w: int) -> np.ndarray:
         """What the queues before each one have given before a window."""
         if (found := self.before.get(w)) is None:
-            found = self.before[w] = [0, *accumulate(self.given(w))]
+            found = self.before[w] = np.concatenate([[0], np.cumsum(self.given(w))])
         return found
 
     def pieces(self, queue: int, start: int, stop: int):
@@ -127,10 +132,10 @@ class Windows:
                 high = mid
         at = start
         while at < stop:
-            here, following = self.given(low), self.given(low + 1)
-            n = min(stop, following[queue]) - at
+            here, following = int(self.given(low)[queue]), int(self.given(low + 1)[queue])
+            n = min(stop, following) - at
             if n:
-                yield low, self.ahead(low + 1)[queue] - self.ahead(low)[queue] + at - here[queue], n
+                yield low, int(self.ahead(low + 1)[queue]) - int(self.ahead(low)[queue]) + at - here, n
             at, low = at + n, low + 1
 
 
@@ -153,11 +158,14 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     return written(plain.mapInArrow(run, "part int, source string, doc_id long, at long, n long, width int, ids binary"), "tokens")
 
 
-def pack(stored: DataFrame, window: int = WINDOW, weights: dict[str, int] | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
-    """The pieces of all documents of tokens(): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source."""
+def pack(stored: DataFrame, window: int = WINDOW, weights: dict[str | None, float] | None = None, max_queues: int = MAX_QUEUES) -> DataFrame:
+    """The pieces of all documents of tokens(): doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, source.
+
+    weights: the share of each source named; the others come when all of these have run out.
+    """
     held = stored.groupBy("part", "source").agg(F.sum("n").alias("held"))
     large = held.groupBy("source").agg(F.sum("held").alias("held")).orderBy(F.desc("held"), "source").limit(max_queues).select("source").collect()
-    names = [r.source for r in large]
+    names = [*(weights or {}), *(r.source for r in large if r.source not in (weights or {}))]
     shared = F.lit(len(names)) + F.pmod(F.xxhash64("source"), F.lit(max_queues)).cast("int")
     own = held.sparkSession.createDataFrame([(n, k) for k, n in enumerate(names)], "name string, own int")
     held = held.join(F.broadcast(own), F.col("source").eqNullSafe(F.col("name")), "left")  # max_queues rows at most
@@ -167,7 +175,8 @@ def pack(stored: DataFrame, window: int = WINDOW, weights: dict[str, int] | None
     numbers = sorted(totals)
     wanted = None
     if weights:
-        wanted = [int(weights.get(names[q], 0)) if q < len(names) else 0 for q in numbers]
+        whole = sum(weights.values())
+        wanted = [round(weights.get(names[q], 0) / whole * WEIGHT_PARTS) if q < len(names) else 0 for q in numbers]
     schedule = Schedule([totals[q] for q in numbers], wanted)
     slot = {q: k for k, q in enumerate(numbers)}
     before = F.sum("held").over(Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1))

@@ -1,12 +1,13 @@
 """Ids of the word-level tokenizer, word by word.
 
 The tokenizer drops white space and never merges across it, so a text's ids are the ids of its words in a row. Words not
-met so far are encoded by the tokenizers library; the others come from a bounded cache.
+met so far are encoded by the tokenizers library, many in one call; the others come from a bounded cache.
 """
 
 from __future__ import annotations
 
 import os
+import string
 from array import array
 
 import numpy as np
@@ -14,6 +15,23 @@ import numpy as np
 from .common import Recent
 
 
+#: Characters tried as a separator: neither letters nor digits, and not composed by normalisation.
+SEPARATORS = "\u2122\u2605\u2022\u2192"
+JOINED = 128
+#: Letters and digits that stay what they are, whatever mark follows.
+PLAIN = frozenset(string.ascii_letters + string.digits + "".join(map(chr, range(0xDF, 0x100))).replace("\u00f7", ""))
+#: ASCII marks of which none begins or ends a match of its own with letters (as the apostrophe does).
+MARKS = "".join(c for c in string.punctuation if c != "'")
+
+
+def _parted(word: str) -> tuple[str, str]:
+    """A word before and behind where its last marks begin, if a letter or digit that normalisation leaves alone stands there."""
+    core = word.rstrip(MARKS)
+    if core and core[-1] not in PLAIN:
+        return word, ""
+    return core.lower() if core.isascii() else core, word[len(core) :]
+
+
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -23,17 +41,48 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
-        self.cache = Recent()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
+        self.cache, self.cores, self.separator = Recent(), Recent(), self._separator()
+
+    def _separator(self) -> tuple[str, int] | None:
+        """A character that is one id by itself: between words it parts their ids, since no other text has that id."""
+        for c in SEPARATORS:
+            if len(ids := self.tokenizer.encode(c, add_special_tokens=False).ids) == 1:
+                return c, ids[0]
+        return None
+
+    def _each(self, texts: list[str]) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _encode(self, words: list[str]) -> list[bytes]:
+        """The ids of each word; short words go through the tokenizer JOINED at a time, with the separator between them."""
+        if self.separator is None:
+            return self._each(words)
+        mark, sep = self.separator
+        out: list = [None] * len(words)
+        short = [k for k, w in enumerate(words) if len(w) <= Recent.LONGEST and mark not in w]
+        runs = [short[at : at + JOINED] for at in range(0, len(short), JOINED)]
+        for run, raw in zip(runs, self._each([f" {mark} ".join([words[k] for k in run]) for run in runs]), strict=True):
+            ends = [*(np.flatnonzero(np.frombuffer(raw, self.kind) == sep) * self.width).tolist(), len(raw)]
+            start = 0
+            for k, end in zip(run, ends, strict=True):
+                out[k] = raw[start:end]
+                start = end + self.width
+        rest = [k for k, ids in enumerate(out) if ids is None]
+        for k, ids in zip(rest, self._each([words[k] for k in rest]), strict=True):
+            out[k] = ids
+        return out
 
     def encode(self, words) -> list[bytes]:
-        """The ids of each text; those of texts met lately come from the cache."""
+        """The ids of each word; those of words met lately come from the cache. The tokenizer parts a word before the ASCII
+        marks it ends with, so words that differ in these, or in the case of ASCII letters, are encoded once."""
         new = self.cache.missing(set(words))
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            self.cache.new.update(zip(part, self._encode(part), strict=True))
+        parts = [_parted(w) for w in new]
+        unmet = self.cores.missing({p for pair in parts for p in pair})
+        known, get = self.cores.new, self.cores.new.__getitem__
+        for at in range(0, len(unmet), 4096):
+            part = unmet[at : at + 4096]
+            known.update(zip(part, self._encode(part), strict=True))
+        self.cache.new.update(zip(new, [get(core) + get(marks) for core, marks in parts], strict=True))
         return list(map(self.cache.new.__getitem__, words))
 
     def of(self, texts: list[str]) -> list[bytes]:
@@ -44,7 +93,7 @@ class WordIds:
             words.update(s or ())
         self.encode(words)
         get = self.cache.new.__getitem__
-        return [self._encode([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+        return [self._each([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
 
 
 _loaded: dict[str, WordIds] = {}

@@ -1,3 +1,4 @@
+import functools
 import random
 import zlib
 from collections import defaultdict
@@ -15,16 +16,21 @@ PATH = public_tokenizers.path("word_bpe_49k.json")
 @pytest.fixture(scope="module")
 def docs(spark):
     rng = random.Random(3)
-    words = ["the", "Cat", "Ünïcode", "don't", "99", "á", "\x1c", "\n", "　", "x" * 300, "<|endoftext|>", "日本語"]
+    words = ["the", "Cat", "Ünïcode", "don't", "99", "á", "\x1c", "\n", "　", "x" * 300, "<|endoftext|>", "日本語", "\u2122", "a\u2122b", "İ,", "don't!!", "x',", "\u2260", "a\u0338.", "é.#", "\u0308x", "\u00a0"]
     rows = [(k, " ".join(rng.choice(words) for _ in range(rng.randrange(60))), rng.choice(["s0", "s0", "s0", "s1", None, "s2"]), "extra") for k in range(300)]
     rows += [(7, "again", "s0", "x"), (7, "again", "s0", "x"), (None, None, None, None), (400, "", "s1", ""), (401, "word " * 9000, "s2", "")]
     return spark.createDataFrame(rows, "doc_id long, text string, source string, part string").repartition(5)
 
 
-def ids_of(text, end):
+@functools.cache
+def tokenizer():
     t = Tokenizer.from_file(PATH)
     t.encode_special_tokens = True
-    return t.encode(text or "", add_special_tokens=False).ids + [end]
+    return t
+
+
+def ids_of(text, end):
+    return tokenizer().encode(text or "", add_special_tokens=False).ids + [end]
 
 
 def crc(ids):
@@ -98,3 +104,40 @@ def test_schedule():
             assert sum(now) == x and all(a <= b <= t for a, b, t in zip(before, now, tokens, strict=True))
             before = now
     assert packing.Schedule([100, 100], [3, 1]).given(40) == [30, 10]
+
+
+def test_weights(spark, docs):
+    """Fractional weights, and a weight for a source that is not among the largest."""
+    stored = packing.tokens(docs, PATH)
+    held = {r.source: r.n for r in stored.groupBy("source").agg({"n": "sum"}).withColumnRenamed("sum(n)", "n").collect()}
+    small = min(held, key=held.get)
+    big = max(held, key=held.get)
+    rows = packing.pack(stored, window=64, weights={small: 0.7, big: 0.3}, max_queues=1).collect()
+    share = defaultdict(int)
+    for r in rows:
+        if r.sequence_id < 4:
+            share[r.source] += r.length
+    assert abs(share[small] - 0.7 * 256) <= 2 and abs(share[big] - 0.3 * 256) <= 2
+    assert sum(r.length for r in rows) == sum(held.values())
+
+
+def test_many_sources(spark):
+    rows = spark.range(4000).selectExpr("id doc_id", "concat('s', id % 2000) source", "repeat('word ', int(id % 7)) text")
+    got = packing.pack(packing.tokens(rows, PATH), window=128).collect()
+    assert sum(r.length for r in got) == sum(k % 7 + 1 for k in range(4000))
+    ends = defaultdict(int)
+    for r in got:
+        ends[r.sequence_id] += r.length
+    assert all(ends[k] == 128 for k in range(len(ends) - 1))
+
+
+def test_word_ids_of_unspaced_text():
+    from datagrove.llm.word_ids import WordIds
+
+    words = WordIds(PATH)
+    rng = random.Random(2)
+    texts = ["".join(rng.choice("日本語xyz") for _ in range(50_000)), "a b", "x" * 70_000]
+    for t, ids in zip(texts, words.of(texts), strict=True):
+        assert np.frombuffer(ids, words.kind).tolist() == tokenizer().encode(t, add_special_tokens=False).ids
+    words.of(["a"])
+    assert max(map(len, words.cache.new)) <= 64
