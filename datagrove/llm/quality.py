@@ -5,7 +5,7 @@ before words in capitals. Features are hashed words and word pairs (pairs of one
 of the text's features, so a score is a sparse dot product. Training reads a bounded sample of labelled rows (max_rows, least hash of the id first); scoring reads
 whole texts. The label table is joined by id for training only; no id, label, language or source enters a score.
 
-Null and empty texts get the score of the bias alone; a table without labels trains to a score of 0.5 for every text.
+Of rows that share a labelled id, the least text is learned from. Null and empty texts get the score of the bias alone; a table without labels trains to a score of 0.5 for every text.
 """
 
 from __future__ import annotations
@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import CACHE_ENTRIES, crc_rest, slices
+from .common import Recent, crc_rest, pieces, slices
 
 BITS = 18
 SCALE = 40.0
@@ -30,7 +30,7 @@ class WordHashes:
     """Hashes of the words of each space-separated piece, from a bounded cache."""
 
     def __init__(self):
-        self.cache: dict[str, bytes] = {}
+        self.cache = Recent()
 
     @staticmethod
     def _of(piece: str) -> bytes:
@@ -43,14 +43,12 @@ class WordHashes:
 
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All hashes in a row, and how many each text has."""
-        if len(self.cache) > CACHE_ENTRIES:
-            self.cache.clear()
-        cache, out = self.cache, []
-        for t in texts:
-            pieces = t.split()
-            for p in set(pieces).difference(cache):
-                cache[p] = self._of(p)
-            out.append(b"".join(map(cache.__getitem__, pieces)))
+        split = [t.split() for t in texts]
+        unmet = self.cache.missing(set().union(*split))
+        known = self.cache.new
+        for p in unmet:
+            known[p] = self._of(p)
+        out = [b"".join(map(known.__getitem__, some)) for some in split]
         return np.frombuffer(b"".join(out), "<u4"), np.array([len(b) // 4 for b in out], np.int64)
 
 
@@ -88,6 +86,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     known = labels.select(F.col("doc_id").cast("long").alias("of"), F.col(label).cast("int").alias("y")).where("y in (0, 1)").where(crc_rest("of", 5) != 0)
     picked = known.orderBy(F.xxhash64("of"), "of", "y").limit(max_rows)
     rows = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).join(F.broadcast(picked), F.col("doc_id") == F.col("of")).select("of", "y", "text")
+    rows = rows.groupBy("of", "y").agg(F.min("text").alias("text"))  # one text for each label, so the bound holds
 
     def run(batches):
         words = WordHashes()
@@ -101,7 +100,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
                     x.append((n * (SCALE / max(1, len(slots)))).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ys, pa.int32()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["of", "y", "at", "x"])
 
-    sample = sorted(rows.mapInArrow(run, "of long, y int, at binary, x binary").collect(), key=lambda r: (r.of, r.y, bytes(r.at), bytes(r.x)))  # max_rows at most, but for repeated ids
+    sample = sorted(rows.mapInArrow(run, "of long, y int, at binary, x binary").collect(), key=lambda r: (r.of, r.y, bytes(r.at), bytes(r.x)))  # max_rows at most
     model, order = FTRL(1 << bits), np.random.default_rng(4)
     for _ in range(epochs):
         for k in order.permutation(len(sample)):
@@ -119,8 +118,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: in
     def run(batches):
         words = WordHashes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 128):
-                part = batch.slice(at, 128)
+            for part in pieces(batch, 128, 4 << 20):
                 place = part.schema.get_field_index("__text")
                 hashes, n = words.of(part.column(place).to_pylist())
                 one, two = features(hashes, bits)
