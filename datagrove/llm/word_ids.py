@@ -7,6 +7,7 @@ met so far are encoded by the tokenizers library, many in one call; the others c
 from __future__ import annotations
 
 import os
+import re
 import string
 from array import array
 
@@ -20,6 +21,7 @@ SEPARATORS = "\u2122\u2605\u2022\u2192"
 JOINED = 128
 #: Letters and digits that stay what they are, whatever mark follows.
 PLAIN = frozenset(string.ascii_letters + string.digits + "".join(map(chr, range(0xDF, 0x100))).replace("\u00f7", ""))
+_LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 #: ASCII marks of which none begins or ends a match of its own with letters (as the apostrophe does).
 MARKS = "".join(c for c in string.punctuation if c != "'")
 
@@ -42,6 +44,19 @@ class WordIds:
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
         self.cache, self.cores, self.separator = Recent(), Recent(), self._separator()
+        self.plain = self._plain(Tokenizer.from_file(path))
+
+    def _plain(self, copy):
+        """A copy that skips normalisation and splits at white space only, for words of lower-case Latin-1 letters; None where
+        it gives other ids than the tokenizer does for some samples."""
+        from tokenizers import pre_tokenizers
+
+        copy.encode_special_tokens, copy.normalizer = True, None
+        copy.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        letters = sorted(c for c in PLAIN if c.islower())
+        samples = [*letters, *("".join(letters[k::n]) for n in (2, 3, 5, 7) for k in range(n)), "the cat " + " ".join(letters)]
+        same = all(copy.encode(t, add_special_tokens=False).ids == self.tokenizer.encode(t, add_special_tokens=False).ids for t in samples)
+        return copy if same else None
 
     def _separator(self) -> tuple[str, int] | None:
         """A character that is one id by itself: between words it parts their ids, since no other text has that id."""
@@ -50,8 +65,8 @@ class WordIds:
                 return c, ids[0]
         return None
 
-    def _each(self, texts: list[str]) -> list[bytes]:
-        return [array(self.code, e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+    def _each(self, texts: list[str], tokenizer=None) -> list[bytes]:
+        return [array(self.code, e.ids).tobytes() for e in (tokenizer or self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)]
 
     def _encode(self, words: list[str]) -> list[bytes]:
         """The ids of each word; short words go through the tokenizer JOINED at a time, with the separator between them."""
@@ -59,14 +74,18 @@ class WordIds:
             return self._each(words)
         mark, sep = self.separator
         out: list = [None] * len(words)
-        short = [k for k, w in enumerate(words) if len(w) <= Recent.LONGEST and mark not in w]
-        runs = [short[at : at + JOINED] for at in range(0, len(short), JOINED)]
-        for run, raw in zip(runs, self._each([f" {mark} ".join([words[k] for k in run]) for run in runs]), strict=True):
-            ends = [*(np.flatnonzero(np.frombuffer(raw, self.kind) == sep) * self.width).tolist(), len(raw)]
-            start = 0
-            for k, end in zip(run, ends, strict=True):
-                out[k] = raw[start:end]
-                start = end + self.width
+        short: tuple[list[int], list[int]] = [], []
+        for k, w in enumerate(words):
+            if len(w) <= Recent.LONGEST and mark not in w:
+                short[self.plain is not None and _LETTERS(w) is not None].append(k)
+        for some, tokenizer in zip(short, (self.tokenizer, self.plain), strict=True):
+            runs = [some[at : at + JOINED] for at in range(0, len(some), JOINED)]
+            for run, raw in zip(runs, self._each([f" {mark} ".join([words[k] for k in run]) for run in runs], tokenizer), strict=True):
+                ends = [*(np.flatnonzero(np.frombuffer(raw, self.kind) == sep) * self.width).tolist(), len(raw)]
+                start = 0
+                for k, end in zip(run, ends, strict=True):
+                    out[k] = raw[start:end]
+                    start = end + self.width
         rest = [k for k, ids in enumerate(out) if ids is None]
         for k, ids in zip(rest, self._each([words[k] for k in rest]), strict=True):
             out[k] = ids
