@@ -139,9 +139,16 @@ def with_scheme(c: Column) -> Column:
 
 
 def download_urls(c: Column) -> Column:
-    """A JSON or quoted list of addresses, or a single one."""
-    listed = F.from_json(F.replace(c, F.lit("'"), F.lit('"')), "array<string>")
-    return F.when(c.startswith("["), F.coalesce(listed, F.array().cast("array<string>"))).when(c.startswith("http"), F.array(c)).otherwise(F.array().cast("array<string>"))
+    """A JSON list of addresses, a list in single quotes, or a single address, quoted or not."""
+    text, none = strip(c), F.array().cast("array<string>")
+    listed = F.coalesce(F.from_json(text, "array<string>"), F.from_json(F.replace(text, F.lit("'"), F.lit('"')), "array<string>"))
+    bare = F.regexp_replace(text, "^[\"']|[\"']$", "")
+    return F.when(text.startswith("["), F.coalesce(listed, none)).when(bare.startswith("http"), F.array(bare)).otherwise(none)
+
+
+def sane_url(c: Column) -> Column:
+    """The address, or nothing ('') where it doesn't start with http."""
+    return F.when(strip(c).startswith("http"), strip(c)).otherwise("")
 
 
 def themes(c: Column) -> Column:

@@ -18,13 +18,15 @@ def properties(rows: DataFrame, node: str, names: list[str]) -> DataFrame:
 def dense_ids(vertices: DataFrame, order: list[str]) -> DataFrame:
     """vertices (node_type, local_id) with nid, consecutive over the types in the order given.
 
-    Numbers run within each type and start at the sum of the types before, so no window holds all rows.
+    Rows are dealt by ranges of (type, id); numbers run within a part and start at the sum of the parts before, so no task holds
+    all rows, not even all of one type.
     """
-    sizes = vertices.groupBy("node_type").agg(F.count(F.lit(1)).alias("n"))
     place = F.array_position(F.array(*[F.lit(o) for o in order]), F.col("node_type"))
-    shifts = sizes.select("node_type", "n", place.alias("t")).withColumn("shift", F.sum("n").over(Window.orderBy("t")) - F.col("n"))
-    within = F.row_number().over(Window.partitionBy("node_type").orderBy("local_id")) - 1
-    return vertices.withColumn("r", within).join(F.broadcast(shifts.select("node_type", "shift")), "node_type").select("node_type", "local_id", (F.col("shift") + F.col("r")).alias("nid"))
+    dealt = vertices.select("node_type", "local_id", place.alias("t")).repartitionByRange("t", "local_id").withColumn("part", F.spark_partition_id())
+    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    shifts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("shift"))  # a row a part
+    within = F.row_number().over(Window.partitionBy("part").orderBy("t", "local_id")) - 1
+    return dealt.withColumn("r", within).join(F.broadcast(shifts), "part").select("node_type", "local_id", (F.col("shift") + F.col("r")).alias("nid"))
 
 
 def type_offsets(nodes: DataFrame) -> DataFrame:
@@ -106,7 +108,7 @@ def neighbours(edges: DataFrame, starts: DataFrame, length: int, hops: int, seed
     out = starts.select("node", F.lit(0).alias("hop"), F.col("node").alias("at"), F.lit("").alias("key"))
     frontier = out
     for hop in range(1, hops + 1):
-        order = F.concat("key", F.lpad(F.hex(F.xxhash64("dst", F.lit(seed))), 16, "0"))
+        order = F.concat("key", F.md5(F.concat(F.col("dst").cast("string"), F.lit(f":{seed}"))))
         frontier = frontier.join(edges.select("src", "dst").distinct(), F.col("at") == F.col("src")).select("node", F.lit(hop).alias("hop"), F.col("dst").alias("at"), order.alias("key"))
         first = Window.partitionBy("node").orderBy("key", "at")
         frontier = frontier.withColumn("r", F.row_number().over(first)).where(F.col("r") <= length).drop("r")
@@ -130,3 +132,40 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, k: int = 25, depth: int =
         open_ = grown.where("not there").drop("there")
     best = Window.partitionBy("src", "dst").orderBy(F.size("path"), F.array_join(F.transform("path", lambda v: v.cast("string")), "-"))
     return found.withColumn("r", F.row_number().over(best)).where(F.col("r") <= k).drop("r")
+
+
+def type_codes(known: DataFrame, edges: DataFrame, order: str) -> DataFrame:
+    """type and code: known ones stay, new types are numbered on by their first place in order. One row a type."""
+    new = edges.groupBy("type").agg(F.min(order).alias("first")).join(known, "type", "left_anti")
+    start = known.agg(F.coalesce(F.max("code") + 1, F.lit(0)).alias("start"))
+    numbered = new.withColumn("r", F.row_number().over(Window.orderBy("first", "type")) - 1)
+    return known.select("type", "code").unionAll(numbered.join(F.broadcast(start)).select("type", (F.col("start") + F.col("r")).cast("int")))  # start is one row
+
+
+def similarity_edges(pairs: DataFrame, kind: str, threshold: float) -> DataFrame:
+    """Edges of both directions between pairs (id1, id2, j_sim) above a threshold."""
+    kept = pairs.where(F.col("j_sim") > threshold).select(F.col("id1").alias("src"), F.col("id2").alias("dst"), F.lit(kind).alias("type"), F.col("j_sim").alias("weight"))
+    return symmetric(kept)
+
+
+#: The edge types that each source profile adds.
+PROFILES = {"base": ("dump", "metadata"), "metadata": ("publish", "theme"), "content": ("content_sim", "pattern_sim", "keyphrase_sim")}
+
+
+def profile(edges: DataFrame, names: list[str]) -> DataFrame:
+    """The edges of the types of some profiles, base always among them; equal edges once."""
+    kinds = [k for name in dict.fromkeys(["base", *names]) for k in PROFILES[name]]
+    return edges.where(F.col("type").isin(*kinds)).distinct()
+
+
+def between_types(edges: DataFrame, nodes: DataFrame, head: str, tail: str) -> DataFrame:
+    """type and n of the edges from nodes (node, node_type) of one type to those of another; backward ones count as negative."""
+    h, t = (nodes.select(F.col("node").alias(f"{e}_node"), F.col("node_type").alias(f"{e}_type")) for e in ("src", "dst"))
+    typed = edges.join(h, F.col("src") == F.col("src_node")).join(t, F.col("dst") == F.col("dst_node"))
+    sign = F.when((F.col("src_type") == head) & (F.col("dst_type") == tail), 1).when((F.col("src_type") == tail) & (F.col("dst_type") == head), -1)
+    return typed.withColumn("sign", sign).where("sign is not null").groupBy("type").agg(F.sum(F.col("sign").cast("long")).alias("n"))
+
+
+def with_self_loops(edges: DataFrame, nodes: DataFrame) -> DataFrame:
+    """edges (src, dst) without their self loops, and one self loop a node."""
+    return edges.select("src", "dst").where("src <> dst").unionAll(nodes.select(F.col("node").alias("src"), F.col("node").alias("dst")).distinct())

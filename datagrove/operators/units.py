@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import json
+import string
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
 from html.parser import HTMLParser
+from itertools import islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,60 +26,80 @@ def row_units(rows: DataFrame, item_id, columns: list[str]) -> DataFrame:
     return rows.select(item_id.cast("string").alias("item_id"), F.concat_ws("||", *cells).alias("unit")).distinct()
 
 
-def json_content(data, path: str = "") -> Iterator[str]:
-    """path=value of each leaf, keys sorted, values as Python writes them."""
+def _members(data) -> list[tuple[str, object]] | None:
+    """Names and values inside a JSON container in document order; None for a leaf."""
     if isinstance(data, dict):
-        for k in sorted(data):
-            yield from json_content(data[k], f"{path}.{k}" if path else k)
-    elif isinstance(data, list):
-        for k, v in enumerate(data):
-            yield from json_content(v, f"{path}.[{k}]" if path else f"[{k}]")
-    else:
-        yield f"{path}={data}"
+        return list(data.items())
+    return [(f"[{k}]", v) for k, v in enumerate(data)] if isinstance(data, list) else None
 
 
-def json_paths(data, path: str = "") -> Iterator[str]:
-    """The paths of all containers and leaves."""
-    children = data.items() if isinstance(data, dict) else ((f"[{k}]", v) for k, v in enumerate(data)) if isinstance(data, list) else ()
-    for k, v in children:
-        below = f"{path}.{k}" if path else str(k)
-        yield below
-        yield from json_paths(v, below)
+def _walk(data) -> Iterator[tuple[str, object, bool]]:
+    """path, value and whether it is a leaf, of everything below data; an explicit stack, so depth has no limit here."""
+    open_ = [("", data)]
+    while open_:
+        path, value = open_.pop()
+        inside = _members(value)
+        yield path, value, inside is None
+        open_ += [(f"{path}.{name}" if path else name, v) for name, v in reversed(inside or [])]
 
 
-def json_values(data) -> Iterator[str]:
-    """Leaf values in document order, but for null and those of digits and punctuation."""
-    if isinstance(data, dict | list):
-        for v in data.values() if isinstance(data, dict) else data:
-            yield from json_values(v)
-    elif data is not None and not all(c.isdigit() or c.isascii() and not c.isalnum() and c.isprintable() and c != " " for c in str(data)):
-        yield str(data)
+def json_content(data) -> Iterator[str]:
+    """path=value of each leaf, values as Python writes them."""
+    return (f"{path}={value}" for path, value, leaf in _walk(data) if leaf)
+
 
+def json_paths(data) -> Iterator[str]:
+    """The paths of all containers and leaves below the whole."""
+    return (path for path, _, _ in islice(_walk(data), 1, None))
 
-def _name(tag: str) -> str:
-    return tag.rpartition("}")[2]
 
+def _marks_only(text: str) -> bool:
+    return all(c.isdigit() or c in string.punctuation for c in text)
 
-def xml_content(e: ET.Element, path: str = "") -> Iterator[str]:
-    """Attributes sorted, text, children by name, then their tails; names without their namespace."""
-    path = f"{path}/{_name(e.tag)}" if path else _name(e.tag)
-    for k, v in sorted((_name(k), v) for k, v in e.attrib.items()):
-        yield f"{path}[@{k}]={v}"
-    if e.text and e.text.strip():
-        yield f"{path}={e.text.strip()}"
-    for child in sorted(e, key=lambda c: _name(c.tag)):
-        yield from xml_content(child, path)
-        if child.tail and child.tail.strip():
-            yield f"{path}/tail={child.tail.strip()}"
 
+def json_values(data) -> Iterator[str]:
+    """Leaf values in document order, but for null and those of digits and punctuation."""
+    return (str(value) for _, value, leaf in _walk(data) if leaf and value is not None and not _marks_only(str(value)))
 
-def xml_paths(e: ET.Element, path: str = "") -> Iterator[str]:
-    path = f"{path}/{_name(e.tag)}" if path else _name(e.tag)
-    yield path
-    for k in e.attrib:
-        yield f"{path}[@{_name(k)}]"
-    for child in e:
-        yield from xml_paths(child, path)
+
+class _XmlUnits:
+    """Takes the parser's events in one pass: a stack of paths, and the text gathered since the last tag."""
+
+    def __init__(self):
+        self.stack, self.content, self.paths = [], [], []
+        self.text, self.place = [], None
+
+    def _flush(self) -> None:
+        text = "".join(self.text).strip()
+        if text and self.place:
+            self.content.append(f"{self.place}={text}")
+        self.text = []
+
+    def start(self, tag: str, attrs: dict[str, str]) -> None:
+        self._flush()
+        path = "/".join([*self.stack[-1:], tag.rpartition("}")[2]])
+        names = [(name.rpartition("}")[2], value) for name, value in attrs.items()]
+        self.paths += [path, *(f"{path}[@{name}]" for name, _ in names)]
+        self.content += [f"{path}[@{name}]={value}" for name, value in names]
+        self.stack.append(path)
+        # Only text before the first child belongs to an element; what follows a child is the child's tail.
+        self.place = path
+
+    def end(self, tag: str) -> None:
+        self._flush()
+        self.place = f"{self.stack.pop()}/tail" if len(self.stack) > 1 else None
+
+    def data(self, text: str) -> None:
+        self.text.append(text)
+
+    def close(self) -> _XmlUnits:
+        return self
+
+
+def _xml(content: str) -> _XmlUnits:
+    parser = ET.XMLParser(target=_XmlUnits())
+    parser.feed(content)
+    return parser.close()
 
 
 class _Text(HTMLParser):
@@ -106,8 +128,8 @@ def html_lines(content: str) -> Iterator[str]:
 
 _KINDS = {
     "json_content": lambda c: json_content(json.loads(c)), "json_paths": lambda c: dict.fromkeys(json_paths(json.loads(c))),
-    "json_text": lambda c: [" ".join(json_values(json.loads(c)))], "xml_content": lambda c: xml_content(ET.fromstring(c)),
-    "xml_paths": lambda c: dict.fromkeys(xml_paths(ET.fromstring(c))), "html": html_lines,
+    "json_text": lambda c: [" ".join(json_values(json.loads(c)))], "xml_content": lambda c: _xml(c).content,
+    "xml_paths": lambda c: dict.fromkeys(_xml(c).paths), "html": html_lines,
 }
 
 
@@ -130,8 +152,20 @@ def parsed_units(docs: DataFrame, id_col: str, content_col: str, kind: str) -> D
     return docs.select(F.col(id_col).cast("string"), F.col(content_col).cast("string")).mapInArrow(run, "item_id string, unit string")
 
 
+def coerced(rows: DataFrame, id_col: str, units_col: str, include_empty: bool = False) -> tuple[DataFrame, DataFrame]:
+    """Arrays of units as (item_id, unit), and one row of counts: items, empty (no unit but nulls and blanks) and skipped (no id or
+    a null array). An item without units is left out, or has the unit NULL with include_empty."""
+    given = rows.select(F.col(id_col).cast("string").alias("item_id"), F.col(units_col).cast("array<string>").alias("given"))
+    kept = F.array_distinct(F.filter(F.transform("given", strip), lambda u: u.isNotNull() & (u != "")))
+    sets = given.select("item_id", kept.alias("units"))
+    fit = F.col("item_id").isNotNull() & F.col("units").isNotNull()
+    counts = sets.agg(F.count_if(fit).alias("items"), F.count_if(fit & (F.size("units") == 0)).alias("empty"), F.count_if(~fit).alias("skipped"))
+    spread = F.explode_outer if include_empty else F.explode
+    return sets.where(fit).select("item_id", spread("units").alias("unit")).distinct(), counts
+
+
 def register(spark) -> None:
-    """SQL table functions json_units(content), json_path_units(content) and xml_units(content)."""
+    """SQL table functions json_units, json_path_units, xml_units, xml_path_units and html_units of (content)."""
     from pyspark.sql.functions import udtf
 
     def make(kind):
@@ -145,5 +179,5 @@ def register(spark) -> None:
 
         return udtf(Units, returnType="unit string")
 
-    for name, kind in (("json_units", "json_content"), ("json_path_units", "json_paths"), ("xml_units", "xml_content")):
+    for name, kind in (("json_units", "json_content"), ("json_path_units", "json_paths"), ("xml_units", "xml_content"), ("xml_path_units", "xml_paths"), ("html_units", "html")):
         spark.udtf.register(name, make(kind))

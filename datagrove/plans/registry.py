@@ -18,4 +18,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import aggregates, graphs, relational, search, similarity, texts  # noqa: E402,F401
+from . import aggregates, graphs, relational, samples, search, similarity, texts  # noqa: E402,F401

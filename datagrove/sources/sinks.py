@@ -14,8 +14,8 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], order: str) -> DataF
 
 
 def fill(rows: DataFrame, found: DataFrame, key: str, column: str) -> DataFrame:
-    """rows with the found values where there are some."""
-    new = found.select(F.col(key), F.col(column).alias("__found"))
+    """rows with the found values where there are some; of several for a key the greatest."""
+    new = found.groupBy(key).agg(F.max(column).alias("__found"))
     return rows.join(new, key, "left").withColumn(column, F.coalesce("__found", column)).drop("__found")
 
 
@@ -45,3 +45,18 @@ def link_lines(links: DataFrame) -> DataFrame:
     """'head TAB tail TAB type TAB weight', by type."""
     ordered = links.orderBy("type", "head", "tail")
     return ordered.select(F.concat_ws("\t", *[F.col(c).cast("string") for c in ("head", "tail", "type", "weight")]).alias("value"))
+
+
+def write_json(rows: DataFrame, path: str) -> None:
+    """A JSON object a line."""
+    rows.write.mode("overwrite").json(path)
+
+
+def json_map(rows: DataFrame, key: str, value: str) -> DataFrame:
+    """One JSON object a key: 'key' and 'json' of its values, a map of nested dumps."""
+    return rows.groupBy(key).agg(F.to_json(F.array_sort(F.collect_set(value))).alias("json"))
+
+
+def query_lines(queries: DataFrame) -> DataFrame:
+    """'id TAB text' of queries (qid, text); tabs and line ends in a text become spaces."""
+    return queries.select(F.concat_ws("\t", F.col("qid").cast("string"), F.regexp_replace("text", r"[\t\r\n]+", " ")).alias("value"))
