@@ -73,10 +73,10 @@ def measures(run: DataFrame, qrels: DataFrame, k: int) -> DataFrame:
 
 
 def t_test(rows: DataFrame, group: str, value: str, one: str, two: str) -> DataFrame:
-    """t of the two-sample test with pooled variance, and the means."""
+    """t of the two-sample test with pooled variance, the means and the sample deviations."""
     stats = rows.where(F.col(group).isin(one, two)).groupBy().agg(*[f(F.when(F.col(group) == g, F.col(value))).alias(f"{n}{k}") for k, g in ((1, one), (2, two)) for n, f in (("n", F.count), ("m", F.avg), ("v", F.var_samp))])
     pooled = ((F.col("n1") - 1) * F.col("v1") + (F.col("n2") - 1) * F.col("v2")) / (F.col("n1") + F.col("n2") - 2)
-    return stats.select(F.round("m1", 6).alias("mean1"), F.round("m2", 6).alias("mean2"), F.round((F.col("m1") - F.col("m2")) / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2"))), 6).alias("t"))
+    return stats.select(F.round("m1", 6).alias("mean1"), F.round("m2", 6).alias("mean2"), F.round(F.sqrt("v1"), 6).alias("std1"), F.round(F.sqrt("v2"), 6).alias("std2"), F.round((F.col("m1") - F.col("m2")) / F.sqrt(pooled * (1 / F.col("n1") + 1 / F.col("n2"))), 6).alias("t"))
 
 
 def multilabel(pairs: DataFrame) -> DataFrame:
@@ -87,3 +87,11 @@ def multilabel(pairs: DataFrame) -> DataFrame:
     by = by.select("*", p.alias("p"), r.alias("r"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f"))
     tp, fp, fn = F.sum("tp"), F.sum("fp"), F.sum("fn")
     return by.agg(*[F.round(c, 6).alias(n) for n, c in (("micro_p", ratio(tp, tp + fp)), ("micro_r", ratio(tp, tp + fn)), ("micro_f1", ratio(2 * tp, 2 * tp + fp + fn)), ("macro_p", F.avg("p")), ("macro_r", F.avg("r")), ("macro_f1", F.avg("f")))])
+
+
+def subset_measures(pairs: DataFrame, item: str) -> DataFrame:
+    """One row: the share of items whose labels are all right, and the share of labels that are wrong (Hamming loss), of
+    (item, label, truth, predicted)."""
+    wrong = (F.col("truth") != F.col("predicted")).cast("int")
+    by = pairs.groupBy(item).agg(F.max(wrong).alias("any"), F.sum(wrong).alias("wrong"), F.count(F.lit(1)).alias("n"))
+    return by.agg(F.round(F.avg(1 - F.col("any")), 6).alias("subset_accuracy"), F.round(F.sum("wrong") / F.sum("n"), 6).alias("hamming_loss"))

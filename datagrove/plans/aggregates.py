@@ -67,7 +67,7 @@ def mode_tiebreak(spark, d):
 @query("ttest_two_sample", """
     WITH s AS (SELECT count(*) FILTER (event_type = 'view') AS n1, avg(value) FILTER (event_type = 'view') AS m1, var_samp(value) FILTER (event_type = 'view') AS v1,
         count(*) FILTER (event_type = 'click') AS n2, avg(value) FILTER (event_type = 'click') AS m2, var_samp(value) FILTER (event_type = 'click') AS v2 FROM events)
-    SELECT round(m1, 6) AS mean1, round(m2, 6) AS mean2, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) AS t FROM s""")
+    SELECT round(m1, 6) AS mean1, round(m2, 6) AS mean2, round(sqrt(v1), 6) AS std1, round(sqrt(v2), 6) AS std2, round((m1 - m2) / sqrt(((n1 - 1) * v1 + (n2 - 1) * v2) / (n1 + n2 - 2) * (1.0 / n1 + 1.0 / n2)), 6) AS t FROM s""")
 def ttest_two_sample(spark, d):
     return retrieval.t_test(table(spark, d, "events"), "event_type", "value", "view", "click")
 
@@ -87,19 +87,29 @@ def multilabel_metrics(spark, d):
     return retrieval.multilabel(one.unionAll(two))
 
 
+@query("subset_measures", """
+    SELECT round(avg(CAST(w1 + w2 = 0 AS INT)), 6) AS subset_accuracy, round(sum(w1 + w2) / (2 * count(*)), 6) AS hamming_loss
+    FROM (SELECT CAST(quality <> CASE WHEN doc_id % 5 < 4 THEN 1 ELSE 0 END AS INT) AS w1, CAST(toxic <> CASE WHEN doc_id % 7 = 0 THEN 1 ELSE 0 END AS INT) AS w2 FROM labels)""")
+def subset_measures(spark, d):
+    labels = table(spark, d, "labels")
+    one = labels.select("doc_id", F.lit("quality").alias("label"), F.col("quality").alias("truth"), (F.col("doc_id") % 5 < 4).cast("int").alias("predicted"))
+    two = labels.select("doc_id", F.lit("toxic").alias("label"), F.col("toxic").alias("truth"), (F.col("doc_id") % 7 == 0).cast("int").alias("predicted"))
+    return retrieval.subset_measures(one.unionAll(two), "doc_id")
+
+
 @query("argmax_class", """
     SELECT vec_id, CAST(k - 1 AS INT) AS class FROM (SELECT vec_id, k, row_number() OVER (PARTITION BY vec_id ORDER BY v DESC, k) AS r
-    FROM (SELECT vec_id, unnest(range(1, 6)) AS k, unnest(embedding[1:5]) AS v FROM embeddings)) WHERE r = 1""")
+    FROM (SELECT vec_id, unnest(range(1, len(embedding) + 1)) AS k, unnest(embedding) AS v FROM embeddings)) WHERE r = 1""")
 def argmax_class(spark, d):
-    """The first of the greatest of five class scores."""
-    scores = F.slice("embedding", 1, 5)
+    """The first of the greatest class scores."""
+    scores = F.col("embedding")
     return table(spark, d, "embeddings").select("vec_id", (F.array_position(scores, F.array_max(scores)) - 1).cast("int").alias("class"))
 
 
 @query("masked_mean_pool", """
-    SELECT label, CAST(i AS INT) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)) FILTER (vec_id % 3 > 0), 6) AS mean FROM embeddings, range(1, 9) t(i) GROUP BY label, i""")
+    SELECT label, CAST(i AS INT) AS dim, round(avg(CAST(embedding[i] AS DOUBLE)) FILTER (vec_id % 3 > 0), 6) AS mean FROM embeddings, range(1, 65) t(i) GROUP BY label, i""")
 def masked_mean_pool(spark, d):
-    rows = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode(F.slice("embedding", 1, 8)).alias("i", "v"))
+    rows = table(spark, d, "embeddings").select("label", "vec_id", F.posexplode("embedding").alias("i", "v"))
     mean = F.avg(F.when(F.col("vec_id") % 3 > 0, F.col("v").cast("double")))
     return rows.groupBy("label", (F.col("i") + 1).alias("dim")).agg(F.round(mean, 6).alias("mean"))
 

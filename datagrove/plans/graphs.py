@@ -113,12 +113,17 @@ def degree_norm_propagate(spark, d):
     return graph.propagate(edges, values, {"publish": 0.5, "theme": 2.0, "dump": 1.0}).select("node", F.round("value", 6).alias("value"))
 
 
-@query("neighbor_sequence")
+@query("neighbor_sequence", f"""
+    WITH e AS (SELECT src, dst FROM {_EDGES} UNION SELECT dst, src FROM {_EDGES}), h0 AS (SELECT 'n' || CAST(n_nationkey AS VARCHAR) AS node, 0 AS hop, 'n' || CAST(n_nationkey AS VARCHAR) AS v, '' AS key FROM nation),
+    s1 AS (SELECT node, 1 AS hop, dst AS v, md5(dst || ':0') AS key FROM h0 JOIN e ON src = v), h1 AS (SELECT * FROM s1 QUALIFY row_number() OVER (PARTITION BY node ORDER BY key, v) <= 20),
+    s2 AS (SELECT node, 2 AS hop, dst AS v, key || md5(dst || ':0') AS key FROM h1 JOIN e ON src = v), h2 AS (SELECT * FROM s2 QUALIFY row_number() OVER (PARTITION BY node ORDER BY key, v) <= 20),
+    w AS (SELECT * FROM h0 UNION ALL SELECT * FROM h1 UNION ALL SELECT * FROM h2)
+    SELECT node, string_agg(v, ',' ORDER BY n) AS seq FROM (SELECT node, v, row_number() OVER (PARTITION BY node ORDER BY hop, key, v) AS n FROM w) WHERE n <= 20 GROUP BY node""")
 def neighbor_sequence(spark, d):
-    """Breadth-first sequences of 20 nodes from every nation, in seeded order (the order has no SQL twin)."""
+    """Breadth-first sequences of 20 nodes from every nation, each step's in the order of a seeded md5."""
     edges = graph.symmetric(_edges(spark, d)).select("src", "dst")
     starts = table(spark, d, "nation").selectExpr("'n' || n_nationkey AS node")
-    return graph.neighbours(edges, starts, 20, 2)
+    return graph.neighbours(edges, starts, 20, 2).select("node", F.array_join("seq", ",").alias("seq"))
 
 
 _RING = "(SELECT n_nationkey % 7 AS u, (n_nationkey * 3 + 1) % 7 AS v FROM nation UNION SELECT n_nationkey % 7, (n_nationkey + 1) % 7 FROM nation)"

@@ -155,7 +155,7 @@ def _xml(spark, d):
     return table(spark, d, "nation").select(k.alias("id"), F.concat(F.lit('<a:r xmlns:a="u" z="1" b="2"><c>t'), k, F.lit("</c> x <b/> </a:r>")).alias("content"))
 
 
-@query("xml_content_units", "SELECT CAST(n_nationkey AS VARCHAR) AS item_id, unnest(['r[@b]=2', 'r[@z]=1', 'r/c=t' || CAST(n_nationkey AS VARCHAR), 'r/tail=x']) AS unit FROM nation")
+@query("xml_content_units", "SELECT CAST(n_nationkey AS VARCHAR) AS item_id, unnest(['r[@b]=2', 'r[@z]=1', 'r/c=t' || CAST(n_nationkey AS VARCHAR), 'r/c/tail=x']) AS unit FROM nation")
 def xml_content_units(spark, d):
     return units.parsed_units(_xml(spark, d), "id", "content", "xml_content")
 

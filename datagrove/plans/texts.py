@@ -149,10 +149,12 @@ def tokenize(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(t).alias("n"), F.array_join(t, " ").alias("terms"))
 
 
-@query("merge_paragraphs", f"SELECT doc_id, trim(regexp_replace(text, '\\s+', ' ', 'g'), {_WS}) || chr(10) || 'next one' AS text FROM documents WHERE text NOT LIKE '%' || chr(10) || chr(10) || '%'")
+@query("merge_paragraphs", f"""
+    SELECT doc_id, string_agg(p, chr(10) ORDER BY k) AS text FROM (
+        SELECT doc_id, unnest(range(len(ps))) AS k, trim(regexp_replace(unnest(ps), '\\s+', ' ', 'g'), {_WS}) AS p
+        FROM (SELECT doc_id, regexp_split_to_array(text || chr(10) || ' ' || chr(10) || ' next' || chr(10) || ' one ', '\\n[ \\t\\r]*\\n') AS ps FROM documents)) WHERE p <> '' GROUP BY doc_id""")
 def merge_paragraphs(spark, d):
-    rows = table(spark, d, "documents").where(~F.col("text").contains("\n\n"))
-    return rows.select("doc_id", X.paragraphs(F.concat("text", F.lit("\n \n next\n one \n\n"))).alias("text"))
+    return table(spark, d, "documents").select("doc_id", X.paragraphs(F.concat("text", F.lit("\n \n next\n one \n\n"))).alias("text")).where("text is not null")
 
 
 @query("html_to_text", "SELECT CAST(n_nationkey AS VARCHAR) AS item_id, 'T & ' || n_name || chr(10) || 'a' || chr(10) || 'b' AS unit FROM nation")

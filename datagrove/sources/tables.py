@@ -27,8 +27,8 @@ def csv_rows(spark: SparkSession, path: str, schema: str, encoding: str | None =
     """Rows of a CSV file with header; malformed rows are left out when tolerant. Ids are what the schema says, never guessed.
     Without an encoding, files that aren't valid UTF-8 are read as Latin-1."""
     if encoding is None:
-        broken = spark.read.option("encoding", ENCODINGS[0]).text(path).where(F.contains("value", F.lit("\ufffd"))).isEmpty()
-        encoding = ENCODINGS[0] if broken else ENCODINGS[1]
+        valid = spark.read.text(path).where(~F.is_valid_utf8("value")).isEmpty()
+        encoding = ENCODINGS[0] if valid else ENCODINGS[1]
     return spark.read.schema(schema).option("header", True).option("encoding", encoding).option("mode", "DROPMALFORMED" if tolerant else "FAILFAST").csv(path)
 
 

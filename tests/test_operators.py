@@ -119,3 +119,52 @@ def test_stream(spark, tmp_path):
         spark.createDataFrame(rows, "k int, v string, t int").write.mode("append").parquet(source)
         resume.absorb(spark, source, "k int, v string, t int", target, str(tmp_path / "cp"), ["k"], "t").awaitTermination()
     assert sorted((r.k, r.v) for r in spark.read.parquet(f"{target}/v=1").collect()) == [(1, "c"), (2, "b")]
+
+
+def test_more_sources(spark, tmp_path):
+    """Encodings, quoted headers, JSON of each form side by side, N-Triples, queries, DOCX, repeated found keys."""
+    import zipfile
+
+    (tmp_path / "latin.csv").write_bytes("id,b\n1,é\n".encode("latin-1"))
+    (tmp_path / "utf.csv").write_text('"a,b", c ,\nx,y,\n')
+    assert [r.b for r in tables.csv_rows(spark, str(tmp_path / "latin.csv"), "id string, b string").collect()] == ["é"]
+    assert tables.csv_header(spark, str(tmp_path / "utf.csv")) == ["a,b", "c"]
+    (tmp_path / "j").mkdir()
+    for name, text in {"one": '{"a":\n 4}', "lines": '{"a": 1}\n{"a": 2}\n', "array": '[{"a": 5},\n {"a": 6}]', "empty": "", "broken": "{x"}.items():
+        (tmp_path / "j" / f"{name}.json").write_text(text)
+    assert sorted(str(r.a) for r in tables.json_records(spark, str(tmp_path / "j"), "a int").collect()) == ["1", "2", "4", "5", "6", "None"]
+    lines = spark.createDataFrame([('<s> <p> "a \\"b\\"\\n\\\\n"@en .',), ("<s> <p> <o> . # c",), ("_:b <p> _:c .",), ("# no",), ("<s> <p> .",)], "value string")
+    assert sorted(map(tuple, tables.ntriples(lines).collect())) == [("_:b", "p", "_:c", "blank"), ("s", "p", 'a "b"\n\\n', "literal"), ("s", "p", "o", "iri")]
+    asked = spark.createDataFrame([("q1\tsome text\tmore",), ("bad",)], "value string")
+    assert [tuple(r) for r in tables.queries(asked).collect()] == [("q1", "some text\tmore")]
+    assert [r.value for r in sinks.query_lines(tables.queries(asked)).collect()] == ["q1\tsome text more"]
+    with zipfile.ZipFile(tmp_path / "d.docx", "w") as z:
+        z.writestr("word/document.xml", '<w:document xmlns:w="http://schemas.openxmlformats.org/wordprocessingml/2006/main"><w:body><w:p><w:r><w:t>a </w:t></w:r><w:r><w:t>b</w:t></w:r></w:p><w:p/><w:p><w:r><w:t>c</w:t></w:r></w:p></w:body></w:document>')
+    (tmp_path / "x.docx").write_bytes(b"no zip")
+    assert sorted(str(r.content) for r in tables.docx(spark, str(tmp_path / "*.docx")).collect()) == ["None", "a b\n\nc"]
+    rows = spark.createDataFrame([("k", ""), ("l", "old")], "k string, v string")
+    found = spark.createDataFrame([("k", "x"), ("k", "y")], "k string, v string")
+    assert sorted(map(tuple, sinks.fill(rows, found, "k", "v").collect())) == [("k", "y"), ("l", "old")]
+    link = spark.createDataFrame([("1\t2\t0\t0.5",), ("1\tx\t0\t?",)], "value string")
+    assert sorted(map(str, tables.links(link).collect())) == sorted(["Row(head=1, tail=2, type=0, weight=0.5)", "Row(head=1, tail=None, type=0, weight=None)"])
+    assert [r.value for r in sinks.link_lines(tables.links(link).where("tail is not null")).collect()] == ["1\t2\t0\t0.5"]
+    sinks.write_json(rows, str(tmp_path / "dump"))
+    assert tables.json_records(spark, str(tmp_path / "dump"), "k string, v string").count() == 2
+    assert sinks.json_map(rows, "k", "v").where("k = 'l'").first().json == '["old"]'
+
+
+def test_addresses(spark):
+    a = F.col("a")
+    assert values(spark, X.download_urls(a), ('["http://x/o\'brien"]', ""), ("['http://a', 'http://b']", ""), ('"http://q"', ""), ("none", "")) == [["http://x/o'brien"], ["http://a", "http://b"], ["http://q"], []]
+    assert values(spark, X.with_scheme(a), ("http://a", ""), ("a.b", "")) == ["http://a", "https://a.b"]
+
+
+def test_xml(spark):
+    """Tails stand under the child they follow; names lose their namespace; deep files have no limit."""
+    docs = spark.createDataFrame([("1", '<r xmlns:n="u" n:k="v">t<c> x </c>tail<c/>two</r>'), ("2", "<a>" * 3000 + "</a>" * 3000), ("3", "<broken")], "id string, c string")
+    of = lambda kind: sorted(r.unit for r in units.parsed_units(docs.where("id <> '2'"), "id", "c", kind).collect())
+    assert of("xml_content") == ["r/c/tail=tail", "r/c/tail=two", "r/c=x", "r=t", "r[@k]=v"]
+    assert of("xml_paths") == ["r", "r/c", "r[@k]"]
+    assert units.parsed_units(docs.where("id = '2'"), "id", "c", "xml_paths").count() == 3000
+    made, counts = units.coerced(spark.createDataFrame([("1", ["b", " b ", "", None]), ("2", []), ("3", None), (None, ["x"])], "id string, u array<string>"), "id", "u", include_empty=True)
+    assert sorted(map(str, made.collect())) == ["Row(item_id='1', unit='b')", "Row(item_id='2', unit=None)"] and tuple(counts.first()) == (2, 1, 2)
