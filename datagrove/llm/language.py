@@ -182,10 +182,15 @@ def identify(rows: DataFrame) -> DataFrame:
     )
 
 
+def declared_language(c: Column) -> Column:
+    """The language of a tag (en of en-US), lower-cased; NULL where nothing is declared."""
+    return F.nullif(F.regexp_replace(F.lower(F.trim(c)), "[-_].*$", ""), F.lit(""))
+
+
 def from_documents(docs: DataFrame) -> DataFrame:
     """Evidence of documents: lang is the declared language, source the host."""
     none = F.lit(None).cast("string")
-    return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("page_id"), F.lower("lang").alias("declared"), none.alias("suffix"), F.col("source").cast("string").alias("host"), F.col("source").cast("string").alias("domain"), F.col("text").cast("string"))
+    return docs.select(F.col("doc_id").cast("long"), F.lit(None).cast("long").alias("page_id"), declared_language(F.col("lang")).alias("declared"), none.alias("suffix"), F.col("source").cast("string").alias("host"), F.col("source").cast("string").alias("domain"), F.col("text").cast("string"))
 
 
 def from_pages(pages: DataFrame) -> DataFrame:

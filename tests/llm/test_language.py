@@ -43,3 +43,34 @@ def test_page_evidence(spark):
     rows = {r.page_id: r for r in language.from_pages(df).collect()}
     assert (rows[1].declared, rows[1].suffix, rows[1].host, rows[1].domain, rows[1].text) == ("fr", "/fr", "m.a.example.org", "example.org", "Un mot")
     assert rows[2].declared is None and rows[2].suffix is None and rows[3].host is None
+
+
+def test_tags(spark):
+    """en-US and en are one language, an empty tag is none; ties, repeated rows and clashing columns don't matter."""
+    rows = [(k, "the house and the garden", lang, "s", "x") for k, lang in enumerate(["en-US", "en", "", None, "EN"] * 4)] + [(3, "the house and the garden", None, "s", "x")]
+    rows += [(100, "word " * 40_000, "de", "t", "x"), (101, None, "de", "t", "x")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, language string")
+    evidence = language.from_documents(docs)
+    assert language.languages(evidence) == ["de", "en"]
+    got = language.identify(evidence).collect()
+    assert len(got) == len(rows) and {r.language for r in got if r.doc_id < 100} == {"en"} and not next(r for r in got if r.doc_id == 101).kept
+
+
+def test_two_hundred_languages(spark):
+    """Rare languages stay candidates, by brute force over the same evidence."""
+    import math
+    from collections import Counter
+
+    rng = random.Random(3)
+    words = {l: ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(6)) for _ in range(5)] for l in range(200)}
+    rows = [(k, " ".join(rng.choice(words[k % 200]) for _ in range(30)), f"l{k % 200:03d}", "s") for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r.text_language for r in language.identify(language.from_documents(docs)).collect()}
+    slots = {k: language._trigrams([t])[0].tolist() for k, t, _, _ in rows}
+    counts, whole = Counter(), Counter()
+    for k, _, l, _ in rows:
+        counts.update((l, s) for s in slots[k])
+        whole[l] += len(slots[k])
+    for k, *_ in rows[:40]:
+        ll = {l: sum(math.log((counts[l, s] + 0.5) / (whole[l] + 0.5 * language.SLOTS)) for s in slots[k]) for l in whole}
+        assert got[k] == max(ll, key=ll.get) == rows[k][2]
