@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
 import uuid
 
@@ -76,6 +77,18 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(path, True)
 
 
+@contextlib.contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Arrow batches of at most rows rows in the jobs run inside, for tables with rows of megabytes."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(min(int(before), rows) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def input_bytes(df: DataFrame) -> int:
     """The optimizer's size of df: what its files hold for a scan, with no job run; 0 where it knows none."""
     found = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
