@@ -11,6 +11,7 @@ import os
 import re
 import string
 from array import array
+from operator import add
 
 import numpy as np
 import pyarrow as pa
@@ -28,12 +29,10 @@ _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
-def _parted(word: str) -> tuple[str, str]:
-    """A word before and behind where its last marks begin, if a letter or digit that normalisation leaves alone stands there."""
-    core = word.rstrip(MARKS)
-    if core and core[-1] not in PLAIN:
-        return word, ""
-    return core.lower() if core.isascii() else core, word[len(core) :]
+def _cores(words: list[str]) -> list[str]:
+    """Each word without its last marks, where a letter or digit that normalisation leaves alone stands before them."""
+    plain = PLAIN
+    return [(c.lower() if c.isascii() else c) if (c := w.rstrip(MARKS)) and c[-1] in plain else w for w in words]
 
 
 class WordIds:
@@ -97,13 +96,14 @@ class WordIds:
         """The ids of each word; those of words met lately come from the cache. The tokenizer parts a word before the ASCII
         marks it ends with, so words that differ in these, or in the case of ASCII letters, are encoded once."""
         new = self.cache.missing(set(words))
-        parts = [_parted(w) for w in new]
-        unmet = self.cores.missing({p for pair in parts for p in pair})
+        cores = _cores(new)
+        marks = [w[len(c) :] for w, c in zip(new, cores, strict=True)]
+        unmet = self.cores.missing({*cores, *marks})
         known, get = self.cores.new, self.cores.new.__getitem__
         for at in range(0, len(unmet), 4096):
             part = unmet[at : at + 4096]
             known.update(zip(part, self._encode(part), strict=True))
-        self.cache.new.update(zip(new, [get(core) + get(marks) for core, marks in parts], strict=True))
+        self.cache.new.update(zip(new, map(add, map(get, cores), map(get, marks)), strict=True))
         return list(map(self.cache.new.__getitem__, words))
 
     def of(self, texts: list[str]) -> list[bytes]:
