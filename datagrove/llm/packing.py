@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import slices, written
+from .common import give_back, slices, written
 from .word_ids import word_ids
 
 WINDOW = 4096
@@ -143,6 +143,7 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
     """The ids of each document, written once: part and source say where, at is the place among the source's tokens of that part."""
 
     def run(batches):
+        give_back()
         words, part, ends = word_ids(tokenizer), TaskContext.get().partitionId(), {}
         end = np.array([end_id], words.kind).tobytes()
         for batch in batches:
@@ -185,6 +186,7 @@ def pack(stored: DataFrame, window: int = WINDOW, weights: dict[str | None, floa
         bases = F.broadcast(bases)
 
     def run(batches):
+        give_back()
         windows = Windows(schedule, window)
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):

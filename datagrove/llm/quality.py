@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, crc_rest, pieces, slices
+from .common import Recent, crc_rest, give_back, pieces, slices
 
 BITS = 18
 SCALE = 40.0
@@ -116,6 +116,7 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: in
     bias = float(weights[-1])
 
     def run(batches):
+        give_back()
         words = WordHashes()
         for batch in batches:
             for part in pieces(batch, 128, 4 << 20):

@@ -6,7 +6,6 @@ met so far are encoded by the tokenizers library, many in one call; the others c
 
 from __future__ import annotations
 
-import ctypes
 import os
 import re
 import string
@@ -14,9 +13,8 @@ from array import array
 from operator import add
 
 import numpy as np
-import pyarrow as pa
 
-from .common import Recent
+from .common import Recent, give_back
 
 
 #: Characters tried as a separator: neither letters nor digits, and not composed by normalisation.
@@ -126,12 +124,7 @@ def word_ids(path: str) -> WordIds:
     return _loaded[path]
 
 
-_give_back = getattr(ctypes.CDLL(None), "malloc_trim", None)  # the C library's, where it has one
-
-
 def forget() -> None:
     """Drops the caches of this worker and returns what they held to the system, for stages that need it for something else."""
     _loaded.clear()
-    pa.default_memory_pool().release_unused()
-    if _give_back:
-        _give_back(0)
+    give_back()
