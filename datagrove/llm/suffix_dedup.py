@@ -11,8 +11,8 @@ UTF-8; matches never cross documents and are judged on the input.
    so that no bucket holds more of a frequent passage than each batch's one copy.
 3. In a bucket the segments are dealt over shards. Each shard sorts its own suffixes and forms its Burrows-Wheeler
    transform. The shards are merged by iterative interleave refinement: the interleave sorted by k symbols and the
-   transforms' symbols in that order (two at a time), stably dealt by symbol, give the interleave sorted by k + 2 symbols;
-   where symbols or block differ a new block starts. After LENGTH steps the blocks are the intervals of suffixes with a common prefix of
+   transforms' symbols in that order (STEP at a time, as one code), stably dealt by code, give the interleave sorted by
+   k + STEP symbols; where codes or block differ a new block starts. After LENGTH steps the blocks are the intervals of suffixes with a common prefix of
    LENGTH bytes, and each interval's least doc_id decides for all its windows. The merged suffixes are never sorted.
 4. Batches get the repeated stretches of their documents back and cut them out.
 
@@ -34,6 +34,7 @@ LENGTH, GRAM = 50, 25
 HOT = 1000
 SHARDS, BLOCK_BYTES, SCAN_BYTES = 2, 1 << 16, 1 << 17
 LONGEST_RUN = 64
+STEP = 8  # symbols that a step of the merge deals by
 _RNG = np.random.default_rng(50)
 _BYTE = _RNG.integers(0, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = int(_RNG.integers(1 << 62, 1 << 63)) | 1
@@ -240,44 +241,72 @@ def _send(parts: int):
 # --- merging ------------------------------------------------------------------------------------------------------
 
 
-class Shard:
-    """The suffixes of strings (each closed by a symbol 0, the whole taken as a circle), sorted by LENGTH symbols at least, and
-    their transform: the symbol before each, and the two symbols before each."""
+def _dense(ordered: np.ndarray, order: np.ndarray) -> np.ndarray:
+    """The rank of each value, from 0, equal ones alike; ordered: the values as order sorts them."""
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(np.concatenate([[False], ordered[1:] != ordered[:-1]]))
+    return out
+
 
-    def __init__(self, x: np.ndarray):
-        n = len(x)
-        key, k = np.resize(x, n + 7).astype(np.uint64), 1
-        while k < 8:
+def _codes(texts: list[np.ndarray], depth: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """At each place of each text (a circle) the rank of the STEP symbols from there on among those of all texts, and that of
+    the depth % STEP symbols from there on."""
+    keys = []
+    for x in texts:
+        key, k = np.resize(x, len(x) + STEP - 1).astype(np.uint64), 1
+        while k < STEP:
             key = (key[:-k] << np.uint64(8 * k)) | key[k:]
             k *= 2
+        keys.append(key)
+    key, ends = np.concatenate(keys), np.cumsum([len(x) for x in texts])[:-1]
+    order = np.argsort(key)
+    ordered = key[order]
+    first = _dense(ordered >> np.uint64(8 * (STEP - depth % STEP)), order) if depth % STEP else np.zeros(len(key), np.int64)
+    return np.split(_dense(ordered, order), ends), np.split(first, ends)
+
+
+def _stable(codes: np.ndarray) -> np.ndarray:
+    """The order that deals by code; what stood first stays first. Radix passes over 16 bits each."""
+    order = np.argsort(codes.astype(np.uint16), kind="stable")
+    high = codes >> 16
+    return order[np.argsort(high[order].astype(np.uint16), kind="stable")] if high.any() else order
+
+
+class Shard:
+    """The suffixes of strings (each closed by a symbol 0, the whole taken as a circle), sorted by depth symbols at least, and
+    their transform: the codes of the STEP symbols before each, and of the depth % STEP symbols before each."""
+
+    def __init__(self, steps: np.ndarray, first: np.ndarray, depth: int = LENGTH):
+        n, rank, k = len(steps), steps, STEP
         while True:
+            bits = max(1, int(rank.max()).bit_length())
+            times = min(63 // bits, -(-depth // k))  # ranks of k symbols that one key holds
+            key = rank << (bits * (times - 1))
+            for t in range(1, times):
+                key |= np.roll(rank, -(t * k % n)) << (bits * (times - 1 - t))
             order = np.argsort(key)
-            ordered = key[order]
-            rank = np.empty(n, np.uint64)
-            steps = np.concatenate([[1], (ordered[1:] != ordered[:-1]).astype(np.int64)]).cumsum()
-            rank[order] = steps
-            if k >= LENGTH or steps[-1] == n:
+            k *= times
+            if k >= depth:
                 break
-            key = (rank << np.uint64(32)) | np.roll(rank, -(k % n))
-            k *= 2
+            rank = _dense(key[order], order)
         self.suffixes = order
-        self.one = x[order - 1]
-        self.two = (x[order - 2].astype(np.uint16) << np.uint16(8)) | self.one
+        self.step = steps[order - STEP].astype(np.int32)
+        self.first = first[order - depth % STEP].astype(np.int32)
 
 
 def merge(shards: list[Shard], depth: int = LENGTH) -> tuple[np.ndarray, np.ndarray]:
     """The interleave (the shard of each merged suffix) and the number of its interval of suffixes with depth common symbols.
 
-    A step deals by two symbols at once; where depth is odd, the first deals by one.
+    A step deals by the code of STEP symbols at once; where these don't divide depth, the first deals by the symbols left over.
     """
-    inter = np.repeat(np.arange(len(shards), dtype=np.int32), [len(s.one) for s in shards])
+    inter = np.repeat(np.arange(len(shards), dtype=np.int32), [len(s.step) for s in shards])
     state = inter  # interval << 2 | shard
     new = np.ones(len(inter), bool)
-    for width in [1] * (depth % 2) + [2] * (depth // 2):
-        symbols = np.empty(len(inter), np.uint16)
+    for left_over in [True] * (depth % STEP > 0) + [False] * (depth // STEP):
+        symbols = np.empty(len(inter), np.int32)
         for k, s in enumerate(shards):
-            symbols[np.flatnonzero((state & 3) == k)] = s.one if width == 1 else s.two
-        order = np.argsort(symbols, kind="stable")  # dealt by symbol; what stood first stays first
+            symbols[np.flatnonzero((state & 3) == k)] = s.first if left_over else s.step
+        order = _stable(symbols)  # dealt by code; what stood first stays first
         state, drawn = state[order], symbols[order]
         block = state >> 2
         np.not_equal(block[1:], block[:-1], out=new[1:])
@@ -291,17 +320,18 @@ def least_owner(strings: list[bytes], owners: np.ndarray) -> list[np.ndarray]:
     lengths = np.array([len(s) for s in strings], np.int64)
     out = [None] * len(strings)
     shares = [np.arange(k, len(strings), SHARDS) for k in range(min(SHARDS, len(strings)))]
-    shards, owner, starts = [], [], []
+    texts, owner, starts = [], [], []
     for share in shares:
         n = lengths[share] + 1
         x = np.zeros(int(n.sum()), np.uint8)
         starts.append(np.cumsum(n) - n)
         x[cat_ranges(starts[-1], n - 1)] = np.frombuffer(b"".join(strings[k] for k in share.tolist()), np.uint8) + np.uint8(1)
-        shards.append(Shard(x))
+        texts.append(x)
         has = np.full(len(x), LAST_ID)
         windows = lengths[share] - LENGTH + 1
         has[cat_ranges(starts[-1], windows)] = np.repeat(owners[share], windows)
         owner.append(has)
+    shards = [Shard(steps, first) for steps, first in zip(*_codes(texts, LENGTH), strict=True)]
     inter, block = merge(shards)
     places = [np.flatnonzero(inter == k) for k in range(len(shards))]
     least = np.empty(len(inter), np.int64)

@@ -59,3 +59,32 @@ def test_merge():
     for s, found in zip(strings, suffix_dedup.least_owner(strings, owners), strict=True):
         for i, least in enumerate(found.tolist()):
             assert least == min(o for t, o in zip(strings, owners.tolist(), strict=True) if s[i : i + L] in t)
+
+
+def test_merge_takes_few_sorts(monkeypatch):
+    """A block's cost is its sorts and deals; depths that STEP divides or not, codes of over 16 bits."""
+    rng, calls, argsort = random.Random(5), [], np.argsort
+    strings = [bytes(rng.choice(b"abcdefgh ") for _ in range(rng.randrange(50, 90))) for _ in range(700)]
+    strings += [s[:30] + strings[k + 1][:40] for k, s in enumerate(strings[:200])]
+    owners = np.array([rng.randrange(500) for _ in strings])
+    monkeypatch.setattr(np, "argsort", lambda *a, **k: calls.append(1) or argsort(*a, **k))
+    found = suffix_dedup.least_owner(strings, owners)
+    assert len(calls) <= 14  # 33 when each step dealt by two symbols
+    first = {}
+    for s, o in zip(strings, owners.tolist(), strict=True):
+        for i in range(len(s) - L + 1):
+            first[s[i : i + L]] = min(o, first.get(s[i : i + L], o))
+    for s, least in zip(strings, found, strict=True):
+        assert least.tolist() == [first[s[i : i + L]] for i in range(len(s) - L + 1)]
+    for depth in (3, 8, 13, 24):
+        texts = [np.frombuffer(b"\0".join(strings[k::2]) + b"\0", np.uint8) + np.uint8(1) for k in range(2)]
+        shards = [suffix_dedup.Shard(*codes, depth) for codes in zip(*suffix_dedup._codes(texts, depth), strict=True)]
+        inter, block = suffix_dedup.merge(shards, depth)
+        met = [np.lib.stride_tricks.sliding_window_view(np.resize(t, len(t) + depth - 1), depth)[s.suffixes] for t, s in zip(texts, shards, strict=True)]
+        merged = np.empty((len(inter), depth), np.uint8)
+        for k, m in enumerate(met):
+            merged[inter == k] = m
+        steps = (merged[1:] != merged[:-1]).any(1)
+        assert (np.diff(block) == steps).all() and all(a.tobytes() <= b.tobytes() for a, b in zip(merged[:-1], merged[1:], strict=True))
+    wide = np.random.default_rng(1).integers(0, 200_000, 300_000)
+    assert (suffix_dedup._stable(wide) == argsort(wide, kind="stable")).all()
