@@ -8,9 +8,9 @@ subword id occurs, and how often the frequent ids follow each other.
 The model: P(id | before) = P(class | before) * P(id | class, last id). Classes part the vocabulary by the company that ids
 keep. P(class | before) is the softmax of a causal self-attention layer over the ids before: every id has its own embedding,
 places see each other through learned biases by distance, and nothing but the layer's output reaches the classes. Embeddings
-start from a decomposition of the class counts; then all training documents train the layer: one window of TRAIN_EVERY,
-picked by hash, so the training text grows with the corpus. Windows are dealt over trainers of about TRAINER_WINDOWS; each
-runs Adam on its own, and after each of ROUNDS rounds their weights are averaged (embeddings by how often an id was met).
+start from a decomposition of the class counts; then every window of every training document trains the layer once. Each task
+over the table of chunks is a trainer that runs Adam on its own, chunk by chunk; after each of ROUNDS rounds, which share the
+windows out between them, the trainers' weights are averaged (embeddings by how often an id was met).
 P(id | class, last id) comes from the counts over all training documents, discounted in favour of the class's own shares, so
 all probabilities of a step add up to one.
 Texts are scored in overlapping windows of WINDOW ids that move on by STRIDE: each id is scored once, in the last STRIDE places
@@ -39,7 +39,8 @@ from .word_ids import forget, word_ids
 
 TOP = 2048  # ids with a row and a column of their own
 CLASSES, WIDTH, WINDOW, STRIDE = 64, 32, 32, 24
-TRAIN_EVERY, TRAINER_WINDOWS, ROUNDS, BATCH = 16, 32_768, 2, 32
+ROUNDS, BATCH = 2, 32
+TRAIN_EVERY = 1  # windows for each one that trains: all do
 ID_BLOCK = 1024  # embeddings averaged in one group
 CACHE_WORDS = 250_000
 CHUNK_BYTES = 6 << 20
@@ -49,7 +50,6 @@ STEEPEST = 40  # an attention score's size at most, before the bias of its dista
 DISCOUNT = 0.75
 _LN10 = float(np.log(10))
 _NONE = 0xFFFFFFFF
-_MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -92,17 +92,15 @@ class Chunk:
         return np.bincount(self.places[np.repeat(self.training, self.n_words)], minlength=len(self.hashes))
 
     def windows(self, end: int) -> np.ndarray:
-        """Training windows (WINDOW + 1 ids, _NONE behind the text's end): one of TRAIN_EVERY of the training documents."""
+        """Training windows (WINDOW + 1 ids, _NONE behind the text's end): all of the training documents."""
         wanted, out = np.flatnonzero(self.training), [np.zeros((0, WINDOW + 1), "<u4")]
         for at in range(0, len(wanted), 256):
             some = wanted[at : at + 256]
             flat, n = self.sequences(end, some)
             count = -(-(n - 1) // WINDOW)
             place = np.arange(int(count.sum())) - np.repeat(np.cumsum(count) - count, count)
-            key = (np.repeat(self.doc_ids[some].view(np.uint64) * _MIX, count) ^ place.astype(np.uint64)) * _MIX
-            picked = (key >> np.uint64(33)) % np.uint64(TRAIN_EVERY) == 0
-            first = np.repeat(np.cumsum(n) - n, count)[picked] + place[picked] * WINDOW
-            left = np.repeat(n, count)[picked] - place[picked] * WINDOW
+            first = np.repeat(np.cumsum(n) - n, count) + place * WINDOW
+            left = np.repeat(n, count) - place * WINDOW
             inside = np.arange(WINDOW + 1)
             there = inside < left[:, None]
             out.append(np.where(there, flat[np.where(there, first[:, None] + inside, 0)], _NONE).astype("<u4"))
@@ -341,22 +339,29 @@ class Layer:
                 w[name][rows] -= (now * (first[name][rows] / (1 - 0.9**step)) / (np.sqrt(second[name][rows] / (1 - 0.99**step)) + 1e-8)).astype("<f4")
 
 
-def averaged(windows: DataFrame, layer: Layer, class_of: np.ndarray, trainers: int) -> Layer:
-    """One round: each trainer goes once through its windows; the average of their weights."""
+def of_round(windows: np.ndarray, number: int) -> np.ndarray:
+    """The windows of a chunk that a round trains on: each is in one round."""
+    return windows[number::ROUNDS]
+
+
+def averaged(windows: DataFrame, layer: Layer, class_of: np.ndarray, number: int) -> Layer:
+    """A round: each task is a trainer that goes once through this round's windows of its chunks; the average of their weights."""
     dense, size = sorted(k for k in layer.weights if k != "E"), len(layer.weights["E"])
 
     def run(batches):
         forget()
-        held = [_unpack(d, "<u4")[0].reshape(-1, WINDOW + 1) for batch in batches for d in batch.column(0).to_pylist()]
-        if not held:
+        own, trained, met = Layer({k: v.copy() for k, v in layer.weights.items()}), 0, np.zeros(size)
+        for batch in batches:
+            for data in batch.column(0).to_pylist():
+                mine = of_round(_unpack(data, "<u4")[0].reshape(-1, WINDOW + 1), number)
+                if len(mine):
+                    own.train(mine, class_of)
+                    trained += len(mine)
+                    met += np.bincount(mine[:, :-1][mine[:, :-1] != _NONE], minlength=size)
+        if not trained:
             return
-        own = Layer({k: v.copy() for k, v in layer.weights.items()})
-        mine = np.concatenate(held)
-        mine = mine[np.lexsort(mine.T[::-1])]  # the same whatever order the rows come in
-        own.train(mine, class_of)
         flat = np.concatenate([own.weights[k].reshape(-1) for k in dense])
-        out = [(-1, _pack(np.array([-1], "<i8"), np.array([len(mine)], "<f8"), flat * np.float32(len(mine))))]
-        met = np.bincount(mine[:, :-1][mine[:, :-1] != _NONE], minlength=size).astype("<f8")
+        out = [(-1, _pack(np.array([-1], "<i8"), np.array([trained], "<f8"), flat * np.float32(trained)))]
         ids = np.flatnonzero(met)
         for some in np.split(ids, np.flatnonzero(np.diff(ids // ID_BLOCK)) + 1):
             if len(some):
@@ -373,9 +378,9 @@ def averaged(windows: DataFrame, layer: Layer, class_of: np.ndarray, trainers: i
         np.add.at(total, at, np.concatenate([p[2].reshape(len(p[0]), -1) for p in parts]))
         return pa.table({"block": rows.column("block")[:1], "data": pa.array([_pack(ids, n, (total / n[:, None]).astype("<f4").reshape(-1))], pa.binary())})
 
-    dealt = windows.repartition(trainers, F.xxhash64("chunk")).select("data").mapInArrow(run, "block int, data binary")
+    made = windows.mapInArrow(run, "block int, data binary")  # no windows are shuffled
     out = {k: v.copy() for k, v in layer.weights.items()}
-    for row in dealt.groupBy("block").applyInArrow(summed, "block int, data binary").collect():  # the size of the layer
+    for row in made.groupBy("block").applyInArrow(summed, "block int, data binary").collect():  # the size of the layer
         ids, _, values = _unpack(row.data, "<i8", "<f8", "<f4")
         if row.block >= 0:
             out["E"][ids] = values.reshape(len(ids), WIDTH)
@@ -500,12 +505,9 @@ def fit(table: DataFrame, end: int) -> Model:
     place = np.full(len(counts), TOP, np.int64)
     place[order] = np.arange(len(order))
     model = Model(counts, place, following_counts(table, place, end), end)
-    windows = table.where("windows is not null").select("chunk", F.col("windows").alias("data"))
-    bytes_each = F.length("data")
-    held = windows.agg(F.sum(bytes_each)).first()[0] or 0
-    trainers = held // (TRAINER_WINDOWS * (WINDOW + 1) * 2) + 1  # packed ids take about two bytes
-    for _ in range(ROUNDS if held else 0):
-        model.layer = averaged(windows, model.layer, model.class_of, trainers)
+    windows = table.where("windows is not null").select("windows")
+    for number in range(ROUNDS):
+        model.layer = averaged(windows, model.layer, model.class_of, number)
     return model
 
 

@@ -132,3 +132,32 @@ def test_each_id_once_and_causal(model):
     assert abs(steps[-1] - whole) < 1e-3 and longer < whole and (np.diff(steps) < 0).all()
     both = model.log10(np.concatenate([ids, ids[:50]]), np.array([300, 50]))
     assert abs(both[0] - whole) < 1e-3 and abs(both[1] - steps[49]) < 1e-3
+
+
+def test_all_windows_train(spark):
+    """Each id of each training document is predicted in one window, and each window trains in one round."""
+    rows = [(k, "the cat sat on a mat " * (k % 40), "x") for k in range(300)] + [(None, "one two", "x"), (301, None, "x")]
+    table = scoring.chunks(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(2), PATH, 49407)
+    for r in table.collect():
+        chunk, windows = scoring.Chunk.read(r.data), scoring._unpack(r.windows, "<u4")[0].reshape(-1, scoring.WINDOW + 1)
+        ids, n = chunk.sequences(49407, np.flatnonzero(chunk.training))
+        firsts = np.isin(np.arange(len(ids)), np.cumsum(n) - n)
+        assert (windows[:, 1:][windows[:, 1:] != scoring._NONE] == ids[~firsts]).all()
+        assert (windows[:, 1:] != scoring._NONE).sum() == (n - 1).sum()
+        parts = [scoring.of_round(np.arange(len(windows)), k) for k in range(scoring.ROUNDS)]
+        assert sorted(np.concatenate(parts).tolist()) == list(range(len(windows)))
+
+
+def test_round_trains_on_its_windows(spark):
+    """The average of a round, by training in this process; the table stays in one part, so there is one trainer."""
+    rows = [(k, f"word{k % 7} the cat sat on a mat " * (k % 30), "x") for k in range(200)]
+    table = scoring.chunks(spark.createDataFrame(rows, "doc_id long, text string, source string").coalesce(1), PATH, 49407)
+    made = scoring.fit(table, 49407)
+    start = scoring.Layer({k: np.random.default_rng(1).normal(0, 0.1, v.shape).astype("<f4") for k, v in made.layer.weights.items()})
+    windows = table.select("windows")
+    got = scoring.averaged(windows, start, made.class_of, 1).weights
+    own = scoring.Layer({k: v.copy() for k, v in start.weights.items()})
+    for r in windows.collect():
+        own.train(scoring.of_round(scoring._unpack(r.windows, "<u4")[0].reshape(-1, scoring.WINDOW + 1), 1), made.class_of)
+    for k, v in own.weights.items():
+        assert np.abs(got[k] - v).max() < 1e-3
