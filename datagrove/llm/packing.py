@@ -24,8 +24,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import give_back, slices, written
-from .word_ids import word_ids
+from .common import BYTES_AT_ONCE, ROWS_AT_ONCE, give_back, pieces, written
+from .word_ids import TEXT_BYTES, word_ids
 
 WINDOW = 4096
 MAX_QUEUES = 1024
@@ -147,13 +147,15 @@ def tokens(docs: DataFrame, tokenizer: str, end_id: int = 2) -> DataFrame:
         words, part, ends = word_ids(tokenizer), TaskContext.get().partitionId(), {}
         end = np.array([end_id], words.kind).tobytes()
         for batch in batches:
-            for keys, sources, texts in slices(batch, ["doc_id", "source", "text"]):
-                ids, at, n = [x + end for x in words.of([t or "" for t in texts])], [], []
-                for s, x in zip(sources, ids, strict=True):
+            for some in pieces(batch, batch.num_rows, TEXT_BYTES):
+                keys, sources, texts = (some.column(some.schema.get_field_index(c)) for c in ("doc_id", "source", "text"))
+                ids, at, n = [x + end for x in words.of(texts)], [], []
+                for s, x in zip(sources.to_pylist(), ids, strict=True):
                     at.append(ends.get(s, 0))
                     n.append(len(x) // words.width)
                     ends[s] = at[-1] + n[-1]
-                yield pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), pa.array(sources, pa.string()), pa.array(keys, pa.int64()), pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([words.width] * len(n), pa.int32()), pa.array(ids, pa.binary())], ["part", "source", "doc_id", "at", "n", "width", "ids"])
+                made = pa.RecordBatch.from_arrays([pa.array([part] * len(n), pa.int32()), sources.cast(pa.string()), keys, pa.array(at, pa.int64()), pa.array(n, pa.int64()), pa.array([words.width] * len(n), pa.int32()), pa.array(ids, pa.binary())], ["part", "source", "doc_id", "at", "n", "width", "ids"])
+                yield from pieces(made, ROWS_AT_ONCE, BYTES_AT_ONCE)
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("source").cast("string"), F.col("text").cast("string"))
     return written(plain.mapInArrow(run, "part int, source string, doc_id long, at long, n long, width int, ids binary"), "tokens")

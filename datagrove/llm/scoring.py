@@ -136,7 +136,7 @@ def chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             seq += 1
             distinct = list(place)
             n = np.array([len(p) for p in places], np.int64)
-            raw = encode([w.decode("utf-8", "replace") for w in distinct])
+            raw = encode(pa.array([w.decode("utf-8", "replace") for w in distinct], pa.string())).to_pylist()
             n_ids = np.array([len(r) // words_of.width for r in raw], np.int64)
             ids = np.frombuffer(b"".join(raw), words_of.kind)
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], "<u8")

@@ -1,7 +1,9 @@
 """Ids of the word-level tokenizer, word by word.
 
-The tokenizer drops white space and never merges across it, so a text's ids are the ids of its words in a row. Words not
-met so far are encoded by the tokenizers library, many in one call; the others come from a bounded cache.
+The tokenizer drops white space and never merges across it, so a text's ids are the ids of its words (split at ASCII white
+space) in a row. Texts are split, words are numbered and their ids put in a row by Arrow, many texts at a time, so Python sees
+each distinct word once. Words not met so far are encoded by the tokenizers library, many in one call; the others come from a
+bounded table of words met lately.
 """
 
 from __future__ import annotations
@@ -10,12 +12,17 @@ import os
 import re
 import string
 from array import array
-from operator import add
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 from .common import Recent, give_back
 
+#: Words that the table of words met lately holds at most.
+MET_WORDS = 1 << 19
+#: Bytes of text split at once, but for a single longer text.
+TEXT_BYTES = 16 << 20
 
 #: Characters tried as a separator: neither letters nor digits, and not composed by normalisation.
 SEPARATORS = "\u2122\u2605\u2022\u2192"
@@ -27,10 +34,34 @@ _LETTERS = re.compile("[a-z\u00df-\u00f6\u00f8-\u00ff]+").fullmatch
 MARKS = "".join(c for c in string.punctuation if c != "'")
 
 
-def _cores(words: list[str]) -> list[str]:
-    """Each word without its last marks, where a letter or digit that normalisation leaves alone stands before them."""
-    plain = PLAIN
-    return [(c.lower() if c.isascii() else c) if (c := w.rstrip(MARKS)) and c[-1] in plain else w for w in words]
+_PLAIN_END = f"[{re.escape(''.join(sorted(PLAIN)))}]$"
+_LAST_MARKS = f"(?P<marks>[{re.escape(MARKS)}]+)$"
+
+
+class Met:
+    """The ids of words met lately, as Arrow arrays: they are looked up all at once. Words of over Recent.LONGEST bytes aren't kept."""
+
+    def __init__(self, entries: int = MET_WORDS):
+        self.entries, self.words, self.ids = entries, pa.array([], pa.string()), pa.array([], pa.binary())
+
+    @property
+    def new(self) -> list[str]:
+        return self.words.to_pylist()
+
+    def of(self, words: pa.Array, encode) -> pa.Array:
+        """The ids of distinct words; encode makes those of a list of words."""
+        at = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+        unmet = np.flatnonzero(at < 0)
+        new = words.take(pa.array(unmet))
+        ids = pa.concat_arrays([self.ids, pa.array(encode(new.to_pylist()), pa.binary())])
+        at[unmet] = len(self.words) + np.arange(len(unmet))
+        out = ids.take(pa.array(at))
+        kept = pa.concat_arrays([self.words, new])
+        if len(kept) > self.entries:  # starts over with the words in use
+            kept, ids = words[: self.entries], out[: self.entries]
+        short = pc.less_equal(pc.binary_length(kept), Recent.LONGEST)
+        self.words, self.ids = (kept, ids) if pc.all(short).as_py() is not False else (kept.filter(short), ids.filter(short))
+        return out
 
 
 class WordIds:
@@ -42,7 +73,7 @@ class WordIds:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.kind, self.code = np.dtype(f"<u{self.width}"), "H" if self.width == 2 else "I"
-        self.cache, self.cores, self.separator = Recent(), Recent(), self._separator()
+        self.cache, self.separator = Met(), self._separator()
         self.plain = self._plain(Tokenizer.from_file(path))
 
     def _plain(self, copy):
@@ -90,29 +121,43 @@ class WordIds:
             out[k] = ids
         return out
 
-    def encode(self, words) -> list[bytes]:
-        """The ids of each word; those of words met lately come from the cache. The tokenizer parts a word before the ASCII
-        marks it ends with, so words that differ in these, or in the case of ASCII letters, are encoded once."""
-        new = self.cache.missing(set(words))
-        cores = _cores(new)
-        marks = [w[len(c) :] for w, c in zip(new, cores, strict=True)]
-        unmet = self.cores.missing({*cores, *marks})
-        known, get = self.cores.new, self.cores.new.__getitem__
-        for at in range(0, len(unmet), 4096):
-            part = unmet[at : at + 4096]
-            known.update(zip(part, self._encode(part), strict=True))
-        self.cache.new.update(zip(new, map(add, map(get, cores), map(get, marks)), strict=True))
-        return list(map(self.cache.new.__getitem__, words))
-
-    def of(self, texts: list[str]) -> list[bytes]:
-        """The little-endian ids of each text, self.width bytes each."""
-        split = [None if any(c in t for c in "\x1c\x1d\x1e\x1f") else t.split() for t in texts]  # those part words in Python only
-        words = set()
-        for s in split:
-            words.update(s or ())
-        self.encode(words)
-        get = self.cache.new.__getitem__
-        return [self._each([t])[0] if s is None else b"".join(map(get, s)) for t, s in zip(texts, split, strict=True)]
+    def _encode_all(self, words: list[str]) -> list[bytes]:
+        return [ids for at in range(0, len(words), 4096) for ids in self._encode(words[at : at + 4096])]
+
+    def encode(self, words: pa.Array) -> pa.Array:
+        """The ids of each of many distinct words. The tokenizer parts a word before the ASCII marks it ends with, where a letter
+        or digit that normalisation leaves alone stands before them, so words that differ in these, or in the case of ASCII
+        letters, are encoded once."""
+        bare = pc.ascii_rtrim(words, MARKS)
+        plain = pc.match_substring_regex(bare, _PLAIN_END)
+        cores = pc.if_else(plain, pc.if_else(pc.string_is_ascii(bare), pc.ascii_lower(bare), bare), words)
+        marked = pc.and_(plain, pc.not_equal(pc.binary_length(bare), pc.binary_length(words)))
+        marks = pc.struct_field(pc.extract_regex(words.filter(marked), _LAST_MARKS), "marks")
+        parts = pa.concat_arrays([cores, marks]).dictionary_encode()
+        ids = self.cache.of(parts.dictionary, self._encode_all).take(parts.indices)
+        ends = pc.replace_with_mask(pa.nulls(len(words), pa.binary()), marked, ids[len(words) :])
+        return pc.binary_join_element_wise(ids[: len(words)], pc.fill_null(ends, b""), b"")
+
+    def of(self, texts) -> list[bytes]:
+        """The little-endian ids of each text (null: none), self.width bytes each; texts: a list or an Arrow array."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        ends, at, out = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False), dtype=np.int64), 0, []
+        while at < len(texts):
+            stop = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + TEXT_BYTES, side="right")))
+            out += self._of(texts[at:stop])
+            at = stop
+        return out
+
+    def _of(self, texts: pa.Array) -> list[bytes]:
+        split = pc.ascii_split_whitespace(texts)
+        words = split.flatten().dictionary_encode()
+        ids = self.encode(words.dictionary.cast(pa.string())).cast(pa.large_binary()).take(words.indices)
+        if not len(ids):
+            return [b""] * len(texts)
+        offsets = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
+        bounds = offsets[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])].tolist()
+        raw = memoryview(ids.buffers()[2] or b"")
+        return [bytes(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
 
 
 _loaded: dict[str, WordIds] = {}

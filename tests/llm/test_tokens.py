@@ -141,3 +141,19 @@ def test_word_ids_of_unspaced_text():
         assert np.frombuffer(ids, words.kind).tolist() == tokenizer().encode(t, add_special_tokens=False).ids
     words.of(["a"])
     assert max(map(len, words.cache.new)) <= 64
+
+
+def test_word_ids_of_arrow_texts():
+    """Texts come as Arrow arrays, are cut into runs, and the table of words met lately stays bounded."""
+    import pyarrow as pa
+
+    from datagrove.llm.word_ids import WordIds
+
+    words, rng = WordIds(PATH), random.Random(4)
+    words.cache.entries = 50
+    texts = ["".join(rng.choice("aeé'!.,́ \x1c™ \tTHE") for _ in range(rng.randrange(80))) for _ in range(300)] + [None, "", " \n"]
+    for kind in (pa.string(), pa.large_string()):
+        for some in (texts, texts[:7], []):
+            got = words.of(pa.array(some, kind))
+            assert [np.frombuffer(ids, words.kind).tolist() for ids in got] == [ids_of(t, 0)[:-1] for t in some]
+            assert len(words.cache.words) <= 50
