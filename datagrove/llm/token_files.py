@@ -22,8 +22,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import parts_for, slices, written
-from .word_ids import word_ids
+from .common import parts_for, pieces, written
+from .word_ids import TEXT_BYTES, word_ids
 
 MAGIC = b"DGPLANE1"
 BLOCK_IDS = 1 << 15
@@ -106,9 +106,9 @@ def write(docs: DataFrame, tokenizer: str, end_id: int = 1, bits: bool = False)
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([held], pa.int64()), pa.array([pack_image(keys, ids, first, bits)], pa.binary())], ["part", "seq", "n_ids", "image"])
 
         for batch in batches:
-            for some, texts in slices(batch, ["doc_id", "text"]):
-                keys += some
-                for raw in words.of([t or "" for t in texts]):
+            for some in pieces(batch, batch.num_rows, TEXT_BYTES):
+                keys += some.column(some.schema.get_field_index("doc_id")).to_pylist()
+                for raw in words.of(some.column(some.schema.get_field_index("text"))):
                     ids.append(np.concatenate([np.frombuffer(raw, words.kind).astype("<u4"), end]))
                     held += len(ids[-1])
                 if held >= SHARD_IDS:
