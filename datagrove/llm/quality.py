@@ -14,11 +14,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Recent, crc_rest, give_back, pieces, slices
+from .common import BYTES_AT_ONCE, ROWS_AT_ONCE, crc_rest, pieces
+from .word_ids import TEXT_BYTES, Met, forget, in_a_row
 
 BITS = 18
 SCALE = 40.0
@@ -27,10 +29,10 @@ _WORDS = re.compile(r"[^\W_]+|[^\w\s]|_")
 
 
 class WordHashes:
-    """Hashes of the words of each space-separated piece, from a bounded cache."""
+    """Hashes of the words of each space-separated piece; those of pieces met lately come from a bounded table."""
 
     def __init__(self):
-        self.cache = Recent()
+        self.met = Met()
 
     @staticmethod
     def _of(piece: str) -> bytes:
@@ -41,15 +43,11 @@ class WordHashes:
             out.append(w.lower())
         return np.array([xxhash.xxh32_intdigest(w) for w in out], "<u4").tobytes()
 
-    def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All hashes in a row, and how many each text has."""
-        split = [t.split() for t in texts]
-        unmet = self.cache.missing(set().union(*split))
-        known = self.cache.new
-        for p in unmet:
-            known[p] = self._of(p)
-        out = [b"".join(map(known.__getitem__, some)) for some in split]
-        return np.frombuffer(b"".join(out), "<u4"), np.array([len(b) // 4 for b in out], np.int64)
+    def of(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """All hashes in a row, and how many each text has (null: none); texts: a list or an Arrow array."""
+        texts = pc.fill_null(texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string()), "")
+        raw, bounds = in_a_row(texts, lambda words: self.met.of(words, lambda new: list(map(self._of, new))))
+        return np.frombuffer(raw, "<u4", int(bounds[-1]) // 4), np.diff(bounds) // 4
 
 
 def features(hashes: np.ndarray, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
@@ -89,16 +87,18 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     rows = rows.groupBy("of", "y").agg(F.min("text").alias("text"))  # one text for each label, so the bound holds
 
     def run(batches):
+        forget()
         words = WordHashes()
         for batch in batches:
-            for keys, ys, texts in slices(batch, ["of", "y", "text"]):
-                at, x = [], []
-                for t in texts:
-                    slots = np.concatenate(features(words.of([t or ""])[0], bits))
+            for part in pieces(batch, ROWS_AT_ONCE, BYTES_AT_ONCE):
+                keys, ys, texts = (part.column(part.schema.get_field_index(c)) for c in ("of", "y", "text"))
+                at, x, (hashes, n) = [], [], words.of(texts)
+                for some in np.split(hashes, np.cumsum(n)[:-1]):
+                    slots = np.concatenate(features(some, bits))
                     u, n = np.unique(slots, return_counts=True)
                     at.append(u.astype("<u4").tobytes())
                     x.append((n * (SCALE / max(1, len(slots)))).astype("<f4").tobytes())
-                yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ys, pa.int32()), pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["of", "y", "at", "x"])
+                yield pa.RecordBatch.from_arrays([keys, ys, pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["of", "y", "at", "x"])
 
     sample = sorted(rows.mapInArrow(run, "of long, y int, at binary, x binary").collect(), key=lambda r: (r.of, r.y, bytes(r.at), bytes(r.x)))  # max_rows at most
     model, order = FTRL(1 << bits), np.random.default_rng(4)
@@ -116,25 +116,30 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: in
     bias = float(weights[-1])
 
     def run(batches):
-        give_back()
+        forget()
         words = WordHashes()
         for batch in batches:
-            for part in pieces(batch, 128, 4 << 20):
-                place = part.schema.get_field_index("__text")
-                hashes, n = words.of(part.column(place).to_pylist())
-                one, two = features(hashes, bits)
-                w = table[one].astype(np.float64)
-                ends = np.cumsum(n)
-                if len(two):
-                    pairs = table[two]
-                    inner = ends[(ends > 0) & (ends < len(hashes))] - 1
-                    pairs[inner] = 0
-                    w[:-1] += pairs
-                sums = np.concatenate([[0.0], np.cumsum(w)])
-                total = sums[ends] - sums[ends - n]
-                scores = 1 / (1 + np.exp(-np.clip(bias + total / np.maximum(1, 2 * n - 1), -35, 35)))
-                keep = [k for k in range(part.num_columns) if k != place]
-                yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [pa.array(scores)], [part.schema.field(k).name for k in keep] + ["score"])
+            place = batch.schema.get_field_index("__text")
+            keep = [k for k in range(batch.num_columns) if k != place]
+            for whole in pieces(batch, batch.num_rows, TEXT_BYTES):
+                every, each = words.of(whole.column(place))
+                done = at = 0
+                for part in pieces(whole, 128, 4 << 20):
+                    n = each[done : done + part.num_rows]
+                    ends = np.cumsum(n)
+                    hashes = every[at : at + int(ends[-1])]
+                    done, at = done + part.num_rows, at + int(ends[-1])
+                    one, two = features(hashes, bits)
+                    w = table[one].astype(np.float64)
+                    if len(two):
+                        pairs = table[two]
+                        inner = ends[(ends > 0) & (ends < len(hashes))] - 1
+                        pairs[inner] = 0
+                        w[:-1] += pairs
+                    sums = np.concatenate([[0.0], np.cumsum(w)])
+                    total = sums[ends] - sums[ends - n]
+                    scores = 1 / (1 + np.exp(-np.clip(bias + total / np.maximum(1, 2 * n - 1), -35, 35)))
+                    yield pa.RecordBatch.from_arrays([part.column(k) for k in keep] + [pa.array(scores)], [part.schema.field(k).name for k in keep] + ["score"])
 
     held = plain.drop("held_out", "predicted", "score")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in held.schema if f.name != "__text")

@@ -64,6 +64,19 @@ class Met:
         return out
 
 
+def in_a_row(texts: pa.Array, encode) -> tuple[memoryview, np.ndarray]:
+    """What encode makes of each word of the texts, in a row, and the places where the texts begin and end in it. encode gets
+    distinct words: an array of strings for one of bytes."""
+    split = pc.ascii_split_whitespace(texts)
+    words = split.flatten().dictionary_encode()
+    found = encode(words.dictionary.cast(pa.string())).cast(pa.large_binary()).take(words.indices)
+    ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    if not len(found):
+        return memoryview(b""), ends
+    offsets = np.frombuffer(found.buffers()[1], np.int64, len(found) + 1, 8 * found.offset)
+    return memoryview(found.buffers()[2] or b""), offsets[ends]
+
+
 class WordIds:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -149,15 +162,8 @@ class WordIds:
         return out
 
     def _of(self, texts: pa.Array) -> list[bytes]:
-        split = pc.ascii_split_whitespace(texts)
-        words = split.flatten().dictionary_encode()
-        ids = self.encode(words.dictionary.cast(pa.string())).cast(pa.large_binary()).take(words.indices)
-        if not len(ids):
-            return [b""] * len(texts)
-        offsets = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1, 8 * ids.offset)
-        bounds = offsets[np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False))])].tolist()
-        raw = memoryview(ids.buffers()[2] or b"")
-        return [bytes(raw[a:b]) for a, b in zip(bounds[:-1], bounds[1:], strict=True)]
+        raw, bounds = in_a_row(texts, self.encode)
+        return [bytes(raw[a:b]) for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
 
 
 _loaded: dict[str, WordIds] = {}

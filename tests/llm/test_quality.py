@@ -38,3 +38,18 @@ def test_dot_product(spark, text):
     slots = np.concatenate(quality.features(quality.WordHashes().of([text])[0]))
     want = 1 / (1 + np.exp(-(w[-1] + quality.SCALE * w[slots].sum() / max(1, len(slots)))))
     assert abs(quality.score(docs, w).first().score - want) < 1e-4
+
+
+def test_hashes_of_arrow_texts():
+    """Many texts at once give the hashes of each one's pieces; the table of pieces met lately stays bounded."""
+    import numpy as np
+    import pyarrow as pa
+
+    texts = ["Two words", None, "", "　THE end\x1cx_y!! ", *(f"A{k} b{k}, CC{k}" for k in range(200)), "two Words"]
+    words = quality.WordHashes()
+    words.met.entries = 50
+    for some in (texts, texts[:3], texts[-4:]):
+        hashes, n = words.of(pa.array(some, pa.string()))
+        want = [b"".join(map(quality.WordHashes._of, (t or "").split())) for t in some]
+        assert hashes.tobytes() == b"".join(want) and n.tolist() == [len(w) // 4 for w in want] and len(words.met.words) <= 50
+    assert np.array_equal(*(words.of([t])[0] for t in ("Two  words", "two\nWords")))
