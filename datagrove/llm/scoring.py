@@ -23,18 +23,17 @@ training documents give base scores of counts of zero.
 from __future__ import annotations
 
 import zlib
-from collections import defaultdict
-from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cat_ranges, parts_for, slices, small_batches, written
+from .common import cat_ranges, parts_for, small_batches, written
 from .word_ids import forget, word_ids
 
 TOP = 2048  # ids with a row and a column of their own
@@ -48,6 +47,9 @@ CHUNKS_AT_ONCE = 4  # in one Arrow batch
 AT_ONCE = 96  # windows scored together
 STEEPEST = 40  # an attention score's size at most, before the bias of its distance
 DISCOUNT = 0.75
+#: The places of a window that see each other, and how far back each one sees.
+_SEEN = np.flatnonzero(np.tri(WINDOW, dtype=bool))
+_BACK = _SEEN // WINDOW - _SEEN % WINDOW
 _LN10 = float(np.log(10))
 _NONE = 0xFFFFFFFF
 
@@ -106,6 +108,28 @@ class Chunk:
             out.append(np.where(there, flat[np.where(there, first[:, None] + inside, 0)], _NONE).astype("<u4"))
         return np.concatenate(out)
 
+    def pairs(self, place: np.ndarray, end: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """What follows each other in training documents, as place of one times side plus place of the next: the pairs inside
+        distinct words and how often these occur; the pairs across words and the documents' ends."""
+        per = self.n_ids.astype(np.int64)
+        stop, p = np.cumsum(per), place[self.ids]
+        inner = np.ones(max(0, len(p) - 1), bool)
+        inner[stop[(stop > 0) & (stop < len(p))] - 1] = False
+        inside, times = (p[:-1] * side + p[1:])[inner], np.repeat(self.word_counts(), per)[:-1][inner]
+        words, n = self.places[np.repeat(self.training, self.n_words)], self.n_words[self.training]
+        if not per.all():  # words of no ids
+            held = per[words] > 0
+            n = np.diff(np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(n)])])
+            words = words[held]
+        firsts, lasts = (np.full(len(words) + 2 * len(n), place[end], np.int64) for _ in range(2))
+        at = cat_ranges(np.cumsum(n + 2) - n - 1, n)
+        if len(words):
+            firsts[at], lasts[at] = p[np.minimum(stop - per, len(p) - 1)][words], p[stop - 1][words]
+        across = lasts[:-1] * side + firsts[1:]
+        keep = np.ones(len(across), bool)
+        keep[(np.cumsum(n + 2) - 1)[:-1]] = False
+        return inside, times, across[keep]
+
     def sequences(self, end: int, wanted: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """end, the ids, end for each document wanted (by place), one after another; and their lengths."""
         starts = np.cumsum(self.n_words) - self.n_words
@@ -125,40 +149,43 @@ def chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
     """The table of chunks: chunk (a number), data (the chunk) and windows (its training windows, null where it has none)."""
 
     def run(batches):
-        words_of, encode = word_ids(tokenizer), word_ids(tokenizer).encode
-        part, seq, keys, places, size = TaskContext.get().partitionId(), 0, [], [], 0
+        words_of, part, seq, waiting, size = word_ids(tokenizer), TaskContext.get().partitionId(), 0, [], 0
         words_of.cache.entries = CACHE_WORDS
-        place = defaultdict(count().__next__)
 
         def flush():
-            nonlocal seq
-            number = part << 24 | seq
-            seq += 1
-            distinct = list(place)
-            n = np.array([len(p) for p in places], np.int64)
-            raw = encode(pa.array([w.decode("utf-8", "replace") for w in distinct], pa.string())).to_pylist()
-            n_ids = np.array([len(r) // words_of.width for r in raw], np.int64)
-            ids = np.frombuffer(b"".join(raw), words_of.kind)
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct], "<u8")
-            known = np.array([k is not None for k in keys], np.uint8)
-            made = Chunk(known, np.array([k or 0 for k in keys], np.int64), n, np.concatenate(places), n_ids, ids, hashes)
+            nonlocal seq, waiting, size
+            keys, texts = (pa.concat_arrays([b.column(b.schema.get_field_index(c)) for b in waiting]) for c in ("doc_id", "text"))
+            number, seq, waiting, size = part << 24 | seq, seq + 1, [], 0
+            split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+            words = split.flatten()
+            full = pc.binary_length(words).to_numpy(zero_copy_only=False) > 0  # a text that begins or ends with space has empty ones there
+            ends = np.concatenate([[0], np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)])
+            n = np.diff(np.concatenate([[0], np.cumsum(full)])[ends])
+            words = words.filter(pa.array(full)).dictionary_encode()
+            distinct = words.dictionary.cast(pa.string())
+            encoded = words_of.encode(distinct)
+            n_ids = pc.binary_length(encoded).to_numpy(zero_copy_only=False) // words_of.width
+            ids = np.frombuffer(b"".join(encoded.to_pylist()), words_of.kind)
+            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()], "<u8")
+            known = pc.is_valid(keys).to_numpy(zero_copy_only=False).astype(np.uint8)
+            made = Chunk(known, pc.fill_null(keys, 0).to_numpy(), n, words.indices.to_numpy().astype("<u4"), n_ids, ids, hashes)
             windows = made.windows(end_id)
             packed = _pack(windows.reshape(-1)) if len(windows) else None
             return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([made.written()], pa.binary()), pa.array([packed], pa.binary())], ["chunk", "data", "windows"])
 
         for batch in batches:
-            for some, texts in slices(batch, ["doc_id", "text"]):
-                for k, t in zip(some, texts, strict=True):
-                    words = (t or "").encode("utf-8", "surrogatepass").lower().split()
-                    keys.append(k)
-                    places.append(np.fromiter(map(place.__getitem__, words), "<u4", len(words)))  # a new word gets the next place
-                    size += len(t or "")
-                    if size >= CHUNK_BYTES:
-                        yield flush()
-                        keys, places, size = [], [], 0
-                        place.clear()
-                        place.default_factory = count().__next__
-        if keys:
+            ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
+            at = 0
+            while at < batch.num_rows:
+                before = int(ends[at - 1]) if at else 0
+                stop = int(np.searchsorted(ends, before + CHUNK_BYTES - size)) + 1  # the text that reaches the size ends its chunk
+                waiting.append(batch.slice(at, stop - at))
+                if stop <= batch.num_rows:
+                    yield flush()
+                else:
+                    size += int(ends[-1]) - before
+                at = stop
+        if waiting:
             yield flush()
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
@@ -231,18 +258,13 @@ def following_counts(table: DataFrame, place: np.ndarray, end: int) -> np.ndarra
         for batch in batches:
             for row in batch.to_pylist():
                 chunk = Chunk.read(row["data"])
-                wanted = np.flatnonzero(chunk.training)
-                for at in range(0, len(wanted), 512):
-                    ids, n = chunk.sequences(end, wanted[at : at + 512])
-                    p = place[ids]
-                    both = p[:-1] * side + p[1:]
-                    keep = np.ones(len(both), bool)
-                    keep[(np.cumsum(n) - 1)[:-1]] = False
-                    counts = np.bincount(both[keep], minlength=side * side)
-                    if total is None:
-                        total = counts
-                    else:
-                        total += counts
+                inside, times, across = chunk.pairs(place, end, side)
+                counts = np.bincount(across, minlength=side * side)
+                counts += np.bincount(inside, times, side * side).astype(np.int64)
+                if total is None:
+                    total = counts
+                else:
+                    total += counts
         if total is not None:
             for a in np.flatnonzero(total.reshape(side, side).any(1)):
                 row = total[a * side : (a + 1) * side]
@@ -270,6 +292,15 @@ def following_counts(table: DataFrame, place: np.ndarray, end: int) -> np.ndarra
 # --- the model ----------------------------------------------------------------------------------------------------
 
 
+def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The places of x in the order of their ids, where each distinct id's begin, and the distinct ids."""
+    flat = x.reshape(-1)
+    order = np.argsort(flat, kind="stable")
+    there = flat[order]
+    starts = np.flatnonzero(np.diff(there, prepend=-1))
+    return order, starts, there[starts]
+
+
 class Layer:
     """The causal self-attention layer: E embeds ids, R is the bias of a distance, U and b lead to the classes."""
 
@@ -290,35 +321,44 @@ class Layer:
         back = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
         return np.where(back >= 0, self.weights["R"][np.maximum(back, 0)], np.float32(-1e9)).astype("<f4")
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, m: np.ndarray) -> dict[str, np.ndarray]:
-        """Of the mean loss over the places m; x: ids, y: the classes that follow. E has a row for each distinct id of x."""
-        w, scale = self.weights, np.float32(WIDTH**-0.5)
-        h = w["E"][x]
-        q, k, v = h @ w["Q"], h @ w["K"], h @ w["V"]
-        s = q @ k.transpose(0, 2, 1) * scale
-        np.exp(np.clip(s, -STEEPEST, STEEPEST, out=s), out=s)
-        s *= np.exp(self.mask())
-        s /= (s @ np.ones(WINDOW, s.dtype))[..., None]
-        o = s @ v
-        g = o @ w["U"] + w["b"]
+    def gradients(self, x: np.ndarray, y: np.ndarray, m: np.ndarray, of_ids: tuple | None = None) -> dict[str, np.ndarray]:
+        """Of the mean loss over the places m; x: ids, y: the classes that follow. E has a row for each distinct id of x; of_ids:
+        _grouped(x), where it is known."""
+        w, scale, (rows, places) = self.weights, np.float32(WIDTH**-0.5), x.shape
+        kind = w["E"].dtype
+        h = w["E"][x.reshape(-1)]
+        into = np.concatenate([w["Q"], w["K"], w["V"]], 1)
+        parts = h @ into
+        q, k, v = (np.ascontiguousarray(parts[:, at : at + WIDTH]).reshape(rows, places, WIDTH) for at in (0, WIDTH, 2 * WIDTH))
+        q *= scale
+        s = q @ k.transpose(0, 2, 1)
+        np.clip(s, -STEEPEST, STEEPEST, out=s)
+        s += self.mask()
+        np.exp(s, out=s)
+        s /= (s @ np.ones(places, kind))[..., None]
+        o = (s @ v).reshape(-1, WIDTH)
+        g = o @ w["U"]
+        g += w["b"]
         np.exp(np.minimum(g, 60, out=g), out=g)
-        g /= (g @ np.ones(g.shape[2], g.dtype))[..., None]
-        np.put_along_axis(g, y[..., None], np.take_along_axis(g, y[..., None], 2) - 1, 2)
-        g *= (m / max(1, m.sum()))[..., None].astype("<f4")
-        flat = lambda a: a.reshape(-1, a.shape[-1])
-        grads = {"U": flat(o).T @ flat(g), "b": g.sum((0, 1))}
-        do = g @ w["U"].T
-        dv, ds = s.transpose(0, 2, 1) @ do, do @ v.transpose(0, 2, 1)
-        ds = s * (ds - (ds * s).sum(2, keepdims=True))
-        by_place = ds.sum(0)
-        grads["R"] = np.array([np.trace(by_place, -d) for d in range(WINDOW)], "<f4")
-        ds *= scale
-        dq, dk = ds @ k, ds.transpose(0, 2, 1) @ q
-        for name, d in (("Q", dq), ("K", dk), ("V", dv)):
-            grads[name] = flat(h).T @ flat(d)
-        dh = flat(dq @ w["Q"].T + dk @ w["K"].T + dv @ w["V"].T)
-        order = np.argsort(x.reshape(-1), kind="stable")
-        starts = np.flatnonzero(np.diff(x.reshape(-1)[order], prepend=-1))
+        g *= (m.reshape(-1) / (max(1, m.sum()) * (g @ np.ones(g.shape[1], kind)))).astype(kind)[:, None]
+        g[np.arange(len(g)), y.reshape(-1)] -= (m.reshape(-1) / max(1, m.sum())).astype(kind)
+        grads = {"U": o.T @ g, "b": np.ones(len(g), kind) @ g}
+        do = (g @ w["U"].T).reshape(rows, places, WIDTH)
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= np.einsum("abc,abc->ab", ds, s)[..., None]
+        ds *= s
+        by_place = np.ones(rows, kind) @ ds.reshape(rows, -1)
+        grads["R"] = np.bincount(_BACK, by_place[_SEEN], WINDOW).astype(kind)
+        back = np.empty((rows, places, 3 * WIDTH), kind)
+        np.matmul(ds, k, out=back[..., :WIDTH])
+        back[..., :WIDTH] *= scale
+        np.matmul(ds.transpose(0, 2, 1), q, out=back[..., WIDTH : 2 * WIDTH])
+        np.matmul(s.transpose(0, 2, 1), do, out=back[..., 2 * WIDTH :])
+        back = back.reshape(-1, 3 * WIDTH)
+        whole = h.T @ back
+        grads |= {name: whole[:, at : at + WIDTH] for name, at in (("Q", 0), ("K", WIDTH), ("V", 2 * WIDTH))}
+        dh = back @ into.T
+        order, starts, _ = of_ids or _grouped(x)
         grads["E"] = np.add.reduceat(dh[order], starts)
         return grads
 
@@ -328,15 +368,22 @@ class Layer:
         x = np.where(windows[:, :-1] != _NONE, windows[:, :-1], 0).astype(np.int64)
         y = class_of[np.where(there, windows[:, 1:], 0)]
         w, order, self.tables = self.weights, np.random.default_rng(seed).permutation(len(x)), None
+        dense, kind = [k for k in w if k != "E"], w["E"].dtype
+        flat, at = np.concatenate([w[k].reshape(-1) for k in dense]), 0
+        for k in dense:  # parts of one array, which moves at once
+            w[k], at = flat[at : at + w[k].size].reshape(w[k].shape), at + w[k].size
         first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
         for step, at in enumerate(range(0, len(order), BATCH), 1):
             some = order[at : at + BATCH]
             now = rate * (1 - at / len(order))
-            for name, d in self.gradients(x[some], y[some], there[some]).items():
-                rows = np.unique(x[some]) if name == "E" else slice(None)  # of the embeddings only those met move
-                first[name][rows] += 0.1 * (d - first[name][rows])
-                second[name][rows] += 0.01 * (d * d - second[name][rows])
-                w[name][rows] -= (now * (first[name][rows] / (1 - 0.9**step)) / (np.sqrt(second[name][rows] / (1 - 0.99**step)) + 1e-8)).astype("<f4")
+            of_ids = _grouped(x[some])
+            for name, d in self.gradients(x[some], y[some], there[some], of_ids).items():
+                rows = of_ids[2] if name == "E" else slice(None)  # of the embeddings only those met move
+                a, b = first[name][rows], second[name][rows]
+                a += 0.1 * (d - a)
+                b += 0.01 * (d * d - b)
+                first[name][rows], second[name][rows] = a, b
+                w[name][rows] -= (now / (1 - 0.9**step)) * a / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
 
 
 def of_round(windows: np.ndarray, number: int) -> np.ndarray:
@@ -464,12 +511,13 @@ class Model:
             s *= seen
             mixed = s @ ev[np.where(there, x, outside)]
             mixed /= mixed[..., -1:].copy()
-            logits = mixed @ out
+            logits = mixed.reshape(-1, mixed.shape[2]) @ out
             np.minimum(logits, 60, out=logits)  # what a class may get has no more than a few dozen as its logarithm
             last, y, p = self.place[x[:, lead:]], self.class_of[after], self.place[after]
-            log = np.take_along_axis(logits, y[..., None], 2)[..., 0]
+            log = logits[np.arange(len(logits)), y.reshape(-1)]
             np.exp(logits, out=logits)
             log -= np.log(logits @ ones)
+            log = log.reshape(y.shape)
             log += np.where(p < TOP, self.log_after[last, np.minimum(p, TOP - 1)], self.log_rest[last, y] + self.log_share[after])
             scores += np.bincount(o, np.where(there[:, lead:], log, 0).sum(1, dtype=float), len(n))
         return scores / _LN10

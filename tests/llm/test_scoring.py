@@ -161,3 +161,18 @@ def test_round_trains_on_its_windows(spark):
         own.train(scoring.of_round(scoring._unpack(r.windows, "<u4")[0].reshape(-1, scoring.WINDOW + 1), 1), made.class_of)
     for k, v in own.weights.items():
         assert np.abs(got[k] - v).max() < 1e-3
+
+
+def test_pairs_by_words(spark):
+    """What follows each other, counted by distinct words, is what the sequences of training documents hold."""
+    rows = [(k, [" the cat sat\x85 \x85", "", None, "\n a \x0b", "\x85", "thethe  the CAT!"][k % 6]) for k in range(40)]
+    df, end = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), 49407
+    chunk = scoring.Chunk.read(scoring.chunks(df, PATH, end).first().data)
+    place = np.arange(end + 1) % 7
+    inside, times, across = chunk.pairs(place, end, 7)
+    got = np.bincount(across, minlength=49) + np.bincount(inside, times, 49)
+    want, wanted = np.zeros(49), np.flatnonzero(chunk.training)
+    for k in wanted:
+        ids, _ = chunk.sequences(end, np.array([k]))
+        np.add.at(want, place[ids[:-1]] * 7 + place[ids[1:]], 1)
+    assert len(wanted) < 40 and (got == want).all()
