@@ -41,7 +41,6 @@ CLASSES, WIDTH, WINDOW, STRIDE = 64, 32, 32, 24
 ROUNDS, BATCH = 2, 32
 TRAIN_EVERY = 1  # windows for each one that trains: all do
 ID_BLOCK = 1024  # embeddings averaged in one group
-CACHE_WORDS = 250_000
 CHUNK_BYTES = 6 << 20
 CHUNKS_AT_ONCE = 4  # in one Arrow batch
 AT_ONCE = 96  # windows scored together
@@ -150,7 +149,6 @@ def chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
 
     def run(batches):
         words_of, part, seq, waiting, size = word_ids(tokenizer), TaskContext.get().partitionId(), 0, [], 0
-        words_of.cache.entries = CACHE_WORDS
 
         def flush():
             nonlocal seq, waiting, size
@@ -165,7 +163,7 @@ def chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             distinct = words.dictionary.cast(pa.string())
             encoded = words_of.encode(distinct)
             n_ids = pc.binary_length(encoded).to_numpy(zero_copy_only=False) // words_of.width
-            ids = np.frombuffer(b"".join(encoded.to_pylist()), words_of.kind)
+            ids = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(encoded)], encoded), b"")[0].as_py(), words_of.kind)
             hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()], "<u8")
             known = pc.is_valid(keys).to_numpy(zero_copy_only=False).astype(np.uint8)
             made = Chunk(known, pc.fill_null(keys, 0).to_numpy(), n, words.indices.to_numpy().astype("<u4"), n_ids, ids, hashes)
