@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import written
+from .word_ids import lean
 
 SLOTS = 1 << 16
 LANGUAGES_AT_ONCE = 64
@@ -89,7 +90,7 @@ def train(rows: DataFrame, known: list[str]) -> list[tuple]:
                 some = keys[at : at + SLOTS]
                 yield pa.RecordBatch.from_arrays([pa.array((some // SLOTS).astype(np.int32)), pa.array((some % SLOTS).astype(np.int32)), pa.array(counts[at : at + SLOTS])], ["l", "slot", "n"])
 
-    found = rows.where("declared is not null").select("declared", "text").mapInArrow(run, "l int, slot int, n long").groupBy("l", "slot").agg(F.sum("n").alias("n")).toArrow()
+    found = rows.where("declared is not null").select("declared", "text").mapInArrow(lean(run), "l int, slot int, n long").groupBy("l", "slot").agg(F.sum("n").alias("n")).toArrow()
     l, slot, n = (found.column(c).to_numpy() for c in ("l", "slot", "n"))
     whole = np.bincount(l, n, len(known)) + 0.5 * SLOTS
     out = []
@@ -129,7 +130,7 @@ def likelihoods(rows: DataFrame, groups: list[tuple]) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column(part.schema.get_field_index(f.name)) for f in rest] + [pa.array(ll.tolist(), pa.list_(pa.float64())), has], [f.name for f in rest] + ["ll", "has_text"])
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rest)
-    return rows.select(*[F.col(f.name) for f in rest], "text").mapInArrow(run, f"{fields}, ll array<double>, has_text boolean")
+    return rows.select(*[F.col(f.name) for f in rest], "text").mapInArrow(lean(run), f"{fields}, ll array<double>, has_text boolean")
 
 
 def _argmax(a: Column) -> Column:

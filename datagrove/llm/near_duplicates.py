@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 
 from .common import discard, parts_for, slices, written
 from .components import components
+from .word_ids import lean
 
 HASHES, TREES, DEPTHS = 64, 16, (4, 8, 12, 16)
 REGION = 1024
@@ -90,7 +91,7 @@ def signed(docs: DataFrame, words: int) -> DataFrame:
                     ["doc_id", "n", "key", "sig"],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, key binary, sig binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lean(run), "doc_id long, n long, key binary, sig binary")
 
 
 def _tree_rows(nodes: DataFrame, with_sig: bool) -> DataFrame:
@@ -213,7 +214,7 @@ def _candidates(regions: DataFrame, parts: int, least: float, share: float) -> D
             yield emit(*held)
 
     dealt = regions.repartition(parts, "region").sortWithinPartitions("region", "sig", "node")
-    return dealt.select("region", "node", "n", "sig").mapInArrow(run, "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
+    return dealt.select("region", "node", "n", "sig").mapInArrow(lean(run), "a long, b long, agree int").groupBy("a", "b").agg(F.max("agree").alias("agree"))
 
 
 def _sets(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> DataFrame:
@@ -228,7 +229,7 @@ def _sets(docs: DataFrame, nodes: DataFrame, words: int, repeated: bool) -> Data
 
     nodes = _small(nodes, nodes.count())
     wanted = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string")).join(nodes, F.col("doc_id") == F.col("node"), "left_semi")
-    out = wanted.mapInArrow(run, "node long, shingles binary")
+    out = wanted.mapInArrow(lean(run), "node long, shingles binary")
     return out.dropDuplicates(["node", "shingles"]) if repeated else out
 
 

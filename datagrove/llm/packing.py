@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import BYTES_AT_ONCE, ROWS_AT_ONCE, give_back, pieces, written
-from .word_ids import TEXT_BYTES, word_ids
+from .word_ids import TEXT_BYTES, lean, word_ids
 
 WINDOW = 4096
 MAX_QUEUES = 1024
@@ -188,7 +188,6 @@ def pack(stored: DataFrame, window: int = WINDOW, weights: dict[str | None, floa
         bases = F.broadcast(bases)
 
     def run(batches):
-        give_back()
         windows = Windows(schedule, window)
         for batch in batches:
             for part in (batch.slice(k, 512) for k in range(0, batch.num_rows, 512)):
@@ -204,4 +203,4 @@ def pack(stored: DataFrame, window: int = WINDOW, weights: dict[str | None, floa
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if k == 7 else pa.int64()) for k, c in enumerate(out)], ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "source"])
 
     joined = stored.join(bases, (F.col("part") == F.col("in")) & F.col("source").eqNullSafe(F.col("of"))).select("doc_id", "source", "at", "n", "width", "ids", "queue", "base")
-    return joined.mapInArrow(run, "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")
+    return joined.mapInArrow(lean(run), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, source string")

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import BYTES_AT_ONCE, ROWS_AT_ONCE, crc_rest, pieces
-from .word_ids import TEXT_BYTES, Met, forget, in_a_row
+from .word_ids import TEXT_BYTES, Met, in_a_row, lean
 
 BITS = 18
 SCALE = 40.0
@@ -87,7 +87,6 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
     rows = rows.groupBy("of", "y").agg(F.min("text").alias("text"))  # one text for each label, so the bound holds
 
     def run(batches):
-        forget()
         words = WordHashes()
         for batch in batches:
             for part in pieces(batch, ROWS_AT_ONCE, BYTES_AT_ONCE):
@@ -100,7 +99,7 @@ def train(docs: DataFrame, labels: DataFrame, label: str = "quality", max_rows:
                     x.append((n * (SCALE / max(1, len(slots)))).astype("<f4").tobytes())
                 yield pa.RecordBatch.from_arrays([keys, ys, pa.array(at, pa.binary()), pa.array(x, pa.binary())], ["of", "y", "at", "x"])
 
-    sample = sorted(rows.mapInArrow(run, "of long, y int, at binary, x binary").collect(), key=lambda r: (r.of, r.y, bytes(r.at), bytes(r.x)))  # max_rows at most
+    sample = sorted(rows.mapInArrow(lean(run), "of long, y int, at binary, x binary").collect(), key=lambda r: (r.of, r.y, bytes(r.at), bytes(r.x)))  # max_rows at most
     model, order = FTRL(1 << bits), np.random.default_rng(4)
     for _ in range(epochs):
         for k in order.permutation(len(sample)):
@@ -116,7 +115,6 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: in
     bias = float(weights[-1])
 
     def run(batches):
-        forget()
         words = WordHashes()
         for batch in batches:
             place = batch.schema.get_field_index("__text")
@@ -143,5 +141,5 @@ def score(docs: DataFrame, weights: np.ndarray, threshold: float = 0.3, bits: in
 
     held = plain.drop("held_out", "predicted", "score")
     fields = ", ".join(f"`{f.name.replace('`', '``')}` {f.dataType.simpleString()}" for f in held.schema if f.name != "__text")
-    scored = held.mapInArrow(run, f"{fields}, score double")
+    scored = held.mapInArrow(lean(run), f"{fields}, score double")
     return scored.withColumn("held_out", crc_rest("doc_id", 5) == 0).withColumn("predicted", (F.col("score") >= threshold).cast("int"))

@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import LAST_ID, cat_ranges, parts_for
+from .word_ids import forget
 
 LENGTH, GRAM = 50, 25
 HOT = 1000
@@ -146,6 +147,7 @@ def _split(part: np.ndarray):
 
 def _ask(parts: int):
     def run(key, table):
+        forget()  # the first step: what other operators' tasks left to this worker
         batch = Batch(table)
         found = list(_runs(batch.texts))
         out = []

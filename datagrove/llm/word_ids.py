@@ -8,6 +8,7 @@ bounded table of words met lately.
 
 from __future__ import annotations
 
+import functools
 import os
 import re
 import string
@@ -179,3 +180,15 @@ def forget() -> None:
     """Drops the caches of this worker and returns what they held to the system, for stages that need it for something else."""
     _loaded.clear()
     give_back()
+
+
+def lean(run):
+    """run over a task's Arrow batches, in a worker that drops what former tasks left it and gives back what this one frees."""
+
+    @functools.wraps(run)
+    def call(batches):
+        forget()
+        yield from run(batches)
+        give_back()
+
+    return call
