@@ -168,3 +168,19 @@ def test_xml(spark):
     assert units.parsed_units(docs.where("id = '2'"), "id", "c", "xml_paths").count() == 3000
     made, counts = units.coerced(spark.createDataFrame([("1", ["b", " b ", "", None]), ("2", []), ("3", None), (None, ["x"])], "id string, u array<string>"), "id", "u", include_empty=True)
     assert sorted(map(str, made.collect())) == ["Row(item_id='1', unit='b')", "Row(item_id='2', unit=None)"] and tuple(counts.first()) == (2, 1, 2)
+
+
+def test_similarity_of_frequent_units(spark, monkeypatch):
+    """Sets of a few units that are all frequent are compared in blocks, members of a class once."""
+    import random
+
+    rng = random.Random(5)
+    sets = {str(i): frozenset(rng.sample("abcdefg", rng.randint(2, 6))) for i in range(90)}
+    df = spark.createDataFrame([(i, u) for i, s in sets.items() for u in s] + [("90", None), (None, "a")], "item_id string, unit string")
+    monkeypatch.setattr(overlap, "FEW_PAIRS", 0)
+    monkeypatch.setattr(overlap, "BLOCK", 16)
+    for threshold in (1.0, 0.5, 0.3):
+        want = {(i, k, len(sets[i] & sets[k]) / len(sets[i] | sets[k])) for i in sets for k in sets if i < k and len(sets[i] & sets[k]) / len(sets[i] | sets[k]) >= threshold}
+        found = overlap.exact_pairs(df, threshold)
+        assert sorted(map(tuple, found.collect())) == sorted(want)
+    assert "CartesianProduct" in found._jdf.queryExecution().toString() or "BroadcastNestedLoopJoin" in found._jdf.queryExecution().toString()
