@@ -15,18 +15,37 @@ def properties(rows: DataFrame, node: str, names: list[str]) -> DataFrame:
     return rows.select(F.col(node).alias("node"), F.explode(pairs).alias("p")).select("node", "p.property", "p.value").where("value <> ''")
 
 
+#: Ids of a block, of a block of blocks and so on, as bits.
+_BLOCK_BITS = 16
+
+
 def dense_ids(vertices: DataFrame, order: list[str]) -> DataFrame:
-    """vertices (node_type, local_id) with nid, consecutive over the types in the order given.
+    """vertices (node_type, local_id: an integer) with nid, consecutive over the types in the order given; NULL ids come last.
 
-    Rows are dealt by ranges of (type, id); numbers run within a part and start at the sum of the parts before, so no task holds
-    all rows, not even all of one type.
+    Ids fall into blocks by their leading bits, so where a row goes depends on its id alone, however often a plan is run. Numbers run
+    within a block; a block starts after the lesser ones of its block of blocks, and so on up to the type. No task holds all rows, not
+    even all of one type.
     """
     place = F.array_position(F.array(*[F.lit(o) for o in order]), F.col("node_type"))
-    dealt = vertices.select("node_type", "local_id", place.alias("t")).repartitionByRange("t", "local_id").withColumn("part", F.spark_partition_id())
-    sizes = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
-    shifts = sizes.select("part", (F.sum("n").over(Window.orderBy("part")) - F.col("n")).alias("shift"))  # a row a part
-    within = F.row_number().over(Window.partitionBy("part").orderBy("t", "local_id")) - 1
-    return dealt.withColumn("r", within).join(F.broadcast(shifts), "part").select("node_type", "local_id", (F.col("shift") + F.col("r")).alias("nid"))
+    up = lambda c: F.shiftright(c, _BLOCK_BITS)
+    rows = vertices.select("node_type", "local_id", place.alias("t"), up(F.col("local_id").cast("long")).alias("b0"))
+    levels = [rows.groupBy("t", "b0").agg(F.count(F.lit(1)).alias("n"))]
+    for k in range(1, 4):
+        levels.append(levels[-1].groupBy("t", up(F.col(f"b{k - 1}")).alias(f"b{k}")).agg(F.sum("n").alias("n")))
+    types = levels[-1].groupBy("t").agg(F.sum("n").alias("n"))  # a row a type
+    starts = types.select("t", (F.sum("n").over(Window.orderBy("t")) - F.col("n")).alias("start"))
+    for k in reversed(range(4)):
+        block, above = f"b{k}", [F.col("t"), up(F.col(f"b{k}"))] if k < 3 else [F.col("t")]
+        before = F.sum("n").over(Window.partitionBy(*above).orderBy(F.asc_nulls_last(block))) - F.col("n")
+        level = levels[k].select(F.col("t").alias("lt"), F.col(block).alias("lb"), before.alias("before"))
+        same = F.col("lt").eqNullSafe(F.col("t"))
+        if k < 3:
+            same = same & up(F.col("lb")).eqNullSafe(F.col(f"b{k + 1}"))
+        starts = level.join(starts, same).select(F.col("lt").alias("t"), F.col("lb").alias(block), (F.col("start") + F.col("before")).alias("start"))
+    within = F.row_number().over(Window.partitionBy("t", "b0").orderBy(F.asc_nulls_last("local_id"))) - 1
+    starts = starts.toDF("lt", "lb", "start")
+    numbered = rows.withColumn("r", within).join(starts, F.col("lt").eqNullSafe(F.col("t")) & F.col("lb").eqNullSafe(F.col("b0")))
+    return numbered.select("node_type", "local_id", (F.col("start") + F.col("r")).alias("nid"))
 
 
 def type_offsets(nodes: DataFrame) -> DataFrame:

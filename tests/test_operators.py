@@ -184,3 +184,12 @@ def test_similarity_of_frequent_units(spark, monkeypatch):
         found = overlap.exact_pairs(df, threshold)
         assert sorted(map(tuple, found.collect())) == sorted(want)
     assert "CartesianProduct" in found._jdf.queryExecution().toString() or "BroadcastNestedLoopJoin" in found._jdf.queryExecution().toString()
+
+
+def test_dense_ids_of_many_parts(spark):
+    """Numbers are consecutive in the order of type and id, though the rows are dealt more than once; sparse and negative ids too."""
+    b = spark.range(0, 300_000, numPartitions=7).select(F.lit("b").alias("node_type"), (F.col("id") * 3).alias("local_id"))
+    rest = spark.createDataFrame([("a", -(1 << 60)), ("a", -1), ("a", 5), ("a", 1 << 40), ("a", (1 << 63) - 1)], "node_type string, local_id long")
+    got = graph.dense_ids(b.unionAll(rest), ["a", "b"])
+    assert [r.nid for r in got.where("node_type = 'a'").orderBy("local_id").collect()] == [0, 1, 2, 3, 4]
+    assert got.where("node_type = 'b'").agg(F.count_if(F.col("nid") == 5 + F.col("local_id") / 3)).first()[0] == 300_000
