@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from datagrove.functions import text as X
-from datagrove.operators import graph, overlap, retrieval, units
+from datagrove.operators import graph, overlap, retrieval, samples, units
 from datagrove.sources import sinks, tables
 from datagrove.streaming import resume
 
@@ -193,3 +193,12 @@ def test_dense_ids_of_many_parts(spark):
     got = graph.dense_ids(b.unionAll(rest), ["a", "b"])
     assert [r.nid for r in got.where("node_type = 'a'").orderBy("local_id").collect()] == [0, 1, 2, 3, 4]
     assert got.where("node_type = 'b'").agg(F.count_if(F.col("nid") == 5 + F.col("local_id") / 3)).first()[0] == 300_000
+
+
+def test_rekeyed_by_dense_ids(spark):
+    """Grades get the ids of their documents, though only one type of the ids is asked for."""
+    nodes = spark.range(0, 200_000, numPartitions=5).select(F.lit("c").alias("node_type"), F.col("id").alias("local_id"))
+    ids = graph.dense_ids(spark.createDataFrame([("a", 7), ("a", 9)], "node_type string, local_id long").unionAll(nodes), ["a", "c"])
+    grades = spark.range(0, 200_000, 13).select(F.col("id").alias("qid"), F.col("id").alias("docid"))
+    got = samples.rekeyed(grades, "docid", ids.where("node_type = 'c'"))
+    assert got.agg(F.count_if(F.col("docid") == F.col("qid") + 2), F.count(F.lit(1))).first()[:] == (15385, 15385)
