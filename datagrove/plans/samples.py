@@ -169,10 +169,8 @@ def pairs_by_similarity(spark, d):
     """The 20 most alike pairs, in order."""
     from pyspark.sql import Window
 
-    a, b = (table(spark, d, "customer").selectExpr(f"c_custkey id{k}", "c_nationkey", "c_mktsegment", f"c_acctbal v{k}") for k in (1, 2))
-    pairs = a.join(b, ["c_nationkey", "c_mktsegment"]).where("id1 < id2").selectExpr("id1", "id2", "abs(v1 - v2) gap")
-    first = pairs.orderBy("gap", "id1", "id2").limit(20)
-    return first.select("id1", "id2", F.row_number().over(Window.orderBy("gap", "id1", "id2")).alias("place"))
+    first = samples.closest_pairs(table(spark, d, "customer").selectExpr("c_custkey id", "c_acctbal v", "c_nationkey", "c_mktsegment"), ["c_nationkey", "c_mktsegment"], 20)
+    return first.select("id1", "id2", F.row_number().over(Window.orderBy(F.asc_nulls_last("gap"), "id1", "id2")).alias("place"))
 
 
 @query("type_codes", f"SELECT 'theme' AS type, CAST(0 AS INT) AS code UNION ALL SELECT type, CAST(row_number() OVER (ORDER BY f, type) AS INT) FROM (SELECT type, min(src) AS f FROM {_EDGES} WHERE type <> 'theme' GROUP BY 1)")

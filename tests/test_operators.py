@@ -202,3 +202,26 @@ def test_rekeyed_by_dense_ids(spark):
     grades = spark.range(0, 200_000, 13).select(F.col("id").alias("qid"), F.col("id").alias("docid"))
     got = samples.rekeyed(grades, "docid", ids.where("node_type = 'c'"))
     assert got.agg(F.count_if(F.col("docid") == F.col("qid") + 2), F.count(F.lit(1))).first()[:] == (15385, 15385)
+
+
+def test_closest_pairs(spark):
+    """Against all pairs: equal values, NULL, NaN and infinite ones, gaps that are rounded to equal numbers; many equal values are no matter."""
+    import itertools
+    import random
+
+    rng = random.Random(3)
+    inf, nan = float("inf"), float("nan")
+    cases = {
+        "equal": [float(rng.randrange(4)) for _ in range(120)], "odd": [None, 1.5, nan, inf, inf, -inf, None, 2.0, nan], "number": [rng.random() for _ in range(150)],
+        "rounded": [1e17, *[float(n) for n in rng.sample(range(8), 8)]], "one": [1.0], "no": [],
+    }
+    for name, values in cases.items():
+        rows = [(k, v, k % 2) for k, v in enumerate(values)]
+        gap = lambda v, w: None if v is None or w is None else abs(v - w)
+        pairs = [(a[0], b[0], gap(a[1], b[1])) for a, b in itertools.combinations(rows, 2) if a[2] == b[2]]
+        pairs.sort(key=lambda p: (p[2] is None, p[2] != p[2], p[2] if p[2] is not None and p[2] == p[2] else 0, p[:2]))
+        for k in (3, 20):
+            got = samples.closest_pairs(spark.createDataFrame(rows, "id long, v double, g int"), ["g"], k)
+            assert [tuple(map(repr, r)) for r in got.collect()] == [tuple(map(repr, p)) for p in pairs[:k]], name
+    many = spark.range(0, 40_000).selectExpr("id", "double(id % 2) v", "1 g")
+    assert [tuple(r) for r in samples.closest_pairs(many, ["g"], 3).collect()] == [(0, 2, 0.0), (0, 4, 0.0), (0, 6, 0.0)]
