@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from ..functions.text import sentences, strip
 
 
-def sentence_units(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(F.col(id_col).cast("string").alias("item_id"), F.explode(sentences(F.col(text_col))).alias("unit"))
+def sentence_units(docs: DataFrame, id_col: str, text_col: str, ends: str | None = None) -> DataFrame:
+    """Sentences without white space at their ends, or without the characters of ends."""
+    return docs.select(F.col(id_col).cast("string").alias("item_id"), F.explode(sentences(F.col(text_col), ends)).alias("unit"))
 
 
 def row_units(rows: DataFrame, item_id, columns: list[str]) -> DataFrame:
