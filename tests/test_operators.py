@@ -250,3 +250,8 @@ def twin_rows(spark, tmp_path, name, table, id_col, text_col):
 def test_twin_of_minhash_signature(spark, tmp_path):
     got, want = twin_rows(spark, tmp_path, "minhash_signature", "documents", "doc_id", "text")
     assert got == want
+
+
+def test_twin_of_sentence_units(spark, tmp_path):
+    got, want = twin_rows(spark, tmp_path, "sentence_units", "documents", "doc_id", "text")
+    assert got == want
