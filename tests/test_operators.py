@@ -186,7 +186,15 @@ def test_similarity_of_frequent_units(spark, monkeypatch):
     assert "CartesianProduct" in found._jdf.queryExecution().toString() or "BroadcastNestedLoopJoin" in found._jdf.queryExecution().toString()
 
 
-def test_dense_ids_of_many_parts(spark):
+@pytest.fixture
+def many_parts(spark):
+    """Small shuffles keep their partitions, as large ones do."""
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    yield
+    spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
+def test_dense_ids_of_many_parts(spark, many_parts):
     """Numbers are consecutive in the order of type and id, though the rows are dealt more than once; sparse and negative ids too."""
     b = spark.range(0, 300_000, numPartitions=7).select(F.lit("b").alias("node_type"), (F.col("id") * 3).alias("local_id"))
     rest = spark.createDataFrame([("a", -(1 << 60)), ("a", -1), ("a", 5), ("a", 1 << 40), ("a", (1 << 63) - 1)], "node_type string, local_id long")
@@ -195,7 +203,7 @@ def test_dense_ids_of_many_parts(spark):
     assert got.where("node_type = 'b'").agg(F.count_if(F.col("nid") == 5 + F.col("local_id") / 3)).first()[0] == 300_000
 
 
-def test_rekeyed_by_dense_ids(spark):
+def test_rekeyed_by_dense_ids(spark, many_parts):
     """Grades get the ids of their documents, though only one type of the ids is asked for."""
     nodes = spark.range(0, 200_000, numPartitions=5).select(F.lit("c").alias("node_type"), F.col("id").alias("local_id"))
     ids = graph.dense_ids(spark.createDataFrame([("a", 7), ("a", 9)], "node_type string, local_id long").unionAll(nodes), ["a", "c"])
