@@ -17,7 +17,7 @@ from ..functions.text import sentences, strip
 
 
 def sentence_units(docs: DataFrame, id_col: str, text_col: str, ends: str | None = None) -> DataFrame:
-    """Sentences without white space at their ends, or without the characters of ends."""
+    """Sentences without white space at their ends, or without the characters of ends; distinct within each row of docs."""
     return docs.select(F.col(id_col).cast("string").alias("item_id"), F.explode(sentences(F.col(text_col), ends)).alias("unit"))
 
 
