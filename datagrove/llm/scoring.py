@@ -49,6 +49,7 @@ DISCOUNT = 0.75
 #: The places of a window that see each other, and how far back each one sees.
 _SEEN = np.flatnonzero(np.tri(WINDOW, dtype=bool))
 _BACK = _SEEN // WINDOW - _SEEN % WINDOW
+_DISTANCE = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
 _LN10 = float(np.log(10))
 _NONE = 0xFFFFFFFF
 
@@ -290,13 +291,31 @@ def following_counts(table: DataFrame, place: np.ndarray, end: int) -> np.ndarra
 # --- the model ----------------------------------------------------------------------------------------------------
 
 
-def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """The places of x in the order of their ids, where each distinct id's begin, and the distinct ids."""
+def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of x, and which of them each place has."""
     flat = x.reshape(-1)
-    order = np.argsort(flat, kind="stable")
-    there = flat[order]
-    starts = np.flatnonzero(np.diff(there, prepend=-1))
-    return order, starts, there[starts]
+    bits = len(flat).bit_length()
+    keys = np.sort((flat.astype(np.int64) << bits) + np.arange(len(flat)))  # with their places
+    there, new, at = keys >> bits, np.ones(len(keys), bool), np.empty(len(keys), np.int64)
+    np.not_equal(there[1:], there[:-1], out=new[1:])
+    at[keys & ((1 << bits) - 1)] = np.cumsum(new) - 1
+    return there[new], at
+
+
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The transpose of a times b, by windows: their rows stay in the processor's cache."""
+    return (a.transpose(0, 2, 1) @ b).sum(0)
+
+
+def _at_most(x: np.ndarray, high: float, low: float | None = None) -> np.ndarray:
+    """x, cut in place to what is between low and high, if anything isn't."""
+    if x.size and (x.max() > high or low is not None and x.min() < low):
+        np.clip(x, low, high, out=x)
+    return x
+
+
+def _turned(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.transpose(0, 2, 1))
 
 
 class Layer:
@@ -316,48 +335,45 @@ class Layer:
         return self.tables
 
     def mask(self) -> np.ndarray:
-        back = np.arange(WINDOW)[:, None] - np.arange(WINDOW)
-        return np.where(back >= 0, self.weights["R"][np.maximum(back, 0)], np.float32(-1e9)).astype("<f4")
+        return np.where(_DISTANCE >= 0, self.weights["R"].take(_DISTANCE, mode="clip"), np.float32(-1e9)).astype("<f4", copy=False)
 
-    def gradients(self, x: np.ndarray, y: np.ndarray, m: np.ndarray, of_ids: tuple | None = None) -> dict[str, np.ndarray]:
+    def gradients(self, x: np.ndarray, y: np.ndarray, m: np.ndarray, of_ids: tuple | None = None, own: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean loss over the places m; x: ids, y: the classes that follow. E has a row for each distinct id of x; of_ids:
-        _grouped(x), where it is known."""
+        _grouped(x), own: the distinct ids' embeddings, where they are known."""
         w, scale, (rows, places) = self.weights, np.float32(WIDTH**-0.5), x.shape
-        kind = w["E"].dtype
-        h = w["E"][x.reshape(-1)]
-        into = np.concatenate([w["Q"], w["K"], w["V"]], 1)
-        parts = h @ into
-        q, k, v = (np.ascontiguousarray(parts[:, at : at + WIDTH]).reshape(rows, places, WIDTH) for at in (0, WIDTH, 2 * WIDTH))
-        q *= scale
-        s = q @ k.transpose(0, 2, 1)
-        np.clip(s, -STEEPEST, STEEPEST, out=s)
+        kind, n = w["E"].dtype, x.size
+        ids, at = of_ids or _grouped(x)
+        own = w["E"].take(ids, 0) if own is None else own
+        into = np.concatenate([w["Q"] * scale, w["K"], w["V"]], 1)
+        parts = own @ into
+        q, k, v = (np.ascontiguousarray(parts[:, c : c + WIDTH]).take(at, 0).reshape(rows, places, WIDTH) for c in (0, WIDTH, 2 * WIDTH))
+        s = _at_most(q @ _turned(k), STEEPEST, -STEEPEST)
         s += self.mask()
         np.exp(s, out=s)
-        s /= (s @ np.ones(places, kind))[..., None]
-        o = (s @ v).reshape(-1, WIDTH)
-        g = o @ w["U"]
+        s *= (1 / (s @ np.ones(places, kind)))[..., None]
+        o = s @ v
+        g = o.reshape(-1, WIDTH) @ w["U"]
         g += w["b"]
-        np.exp(np.minimum(g, 60, out=g), out=g)
-        g *= (m.reshape(-1) / (max(1, m.sum()) * (g @ np.ones(g.shape[1], kind)))).astype(kind)[:, None]
-        g[np.arange(len(g)), y.reshape(-1)] -= (m.reshape(-1) / max(1, m.sum())).astype(kind)
-        grads = {"U": o.T @ g, "b": np.ones(len(g), kind) @ g}
+        np.exp(_at_most(g, 60), out=g)
+        part = m.reshape(-1).astype(kind) / kind.type(max(1, np.count_nonzero(m)))
+        g *= (part / (g @ np.ones(g.shape[1], kind)))[:, None]
+        g.reshape(-1)[np.arange(n) * g.shape[1] + y.reshape(-1)] -= part
+        grads = {"U": _product(o, g.reshape(rows, places, -1)), "b": np.ones(n, kind) @ g}
         do = (g @ w["U"].T).reshape(rows, places, WIDTH)
-        ds = do @ v.transpose(0, 2, 1)
+        ds = do @ _turned(v)
         ds -= np.einsum("abc,abc->ab", ds, s)[..., None]
         ds *= s
         by_place = np.ones(rows, kind) @ ds.reshape(rows, -1)
         grads["R"] = np.bincount(_BACK, by_place[_SEEN], WINDOW).astype(kind)
         back = np.empty((rows, places, 3 * WIDTH), kind)
         np.matmul(ds, k, out=back[..., :WIDTH])
-        back[..., :WIDTH] *= scale
         np.matmul(ds.transpose(0, 2, 1), q, out=back[..., WIDTH : 2 * WIDTH])
         np.matmul(s.transpose(0, 2, 1), do, out=back[..., 2 * WIDTH :])
-        back = back.reshape(-1, 3 * WIDTH)
-        whole = h.T @ back
-        grads |= {name: whole[:, at : at + WIDTH] for name, at in (("Q", 0), ("K", WIDTH), ("V", 2 * WIDTH))}
-        dh = back @ into.T
-        order, starts, _ = of_ids or _grouped(x)
-        grads["E"] = np.add.reduceat(dh[order], starts)
+        whole = _product(own.take(at, 0).reshape(rows, places, WIDTH), back)
+        whole[:, :WIDTH] *= scale
+        grads |= {name: whole[:, c : c + WIDTH] for name, c in (("Q", 0), ("K", WIDTH), ("V", 2 * WIDTH))}
+        dh, cells = back.reshape(-1, 3 * WIDTH) @ into.T, (at * WIDTH)[:, None] + np.arange(WIDTH)
+        grads["E"] = np.bincount(cells.reshape(-1), dh.reshape(-1), own.size).reshape(own.shape).astype(kind)
         return grads
 
     def train(self, windows: np.ndarray, class_of: np.ndarray, rate: float = 0.01, seed: int = 3) -> None:
@@ -366,22 +382,40 @@ class Layer:
         x = np.where(windows[:, :-1] != _NONE, windows[:, :-1], 0).astype(np.int64)
         y = class_of[np.where(there, windows[:, 1:], 0)]
         w, order, self.tables = self.weights, np.random.default_rng(seed).permutation(len(x)), None
-        dense, kind = [k for k in w if k != "E"], w["E"].dtype
+        dense = [k for k in w if k != "E"]
         flat, at = np.concatenate([w[k].reshape(-1) for k in dense]), 0
         for k in dense:  # parts of one array, which moves at once
             w[k], at = flat[at : at + w[k].size].reshape(w[k].shape), at + w[k].size
-        first, second = ({k: np.zeros_like(v) for k, v in w.items()} for _ in range(2))
+        table, first, second = w["E"], np.zeros_like(w["E"]), np.zeros_like(w["E"])
+        a, b = np.zeros_like(flat), np.zeros_like(flat)
         for step, at in enumerate(range(0, len(order), BATCH), 1):
             some = order[at : at + BATCH]
-            now = rate * (1 - at / len(order))
-            of_ids = _grouped(x[some])
-            for name, d in self.gradients(x[some], y[some], there[some], of_ids).items():
-                rows = of_ids[2] if name == "E" else slice(None)  # of the embeddings only those met move
-                a, b = first[name][rows], second[name][rows]
-                a += 0.1 * (d - a)
-                b += 0.01 * (d * d - b)
-                first[name][rows], second[name][rows] = a, b
-                w[name][rows] -= (now / (1 - 0.9**step)) * a / (np.sqrt(b / (1 - 0.99**step)) + 1e-8)
+            now = rate * (1 - at / len(order)) / (1 - 0.9**step)
+            seen = x.take(some, 0)
+            of_ids = _grouped(seen)
+            ids = of_ids[0]  # of the embeddings only those met move
+            own, c, d = (z.take(ids, 0) for z in (table, first, second))
+            grads = self.gradients(seen, y.take(some, 0), there.take(some, 0), of_ids, own)
+            _moved(flat, np.concatenate([grads[k].reshape(-1) for k in dense]), a, b, now, step)
+            _moved(own, grads["E"], c, d, now, step)
+            table[ids], first[ids], second[ids] = own, c, d
+
+
+def _moved(w: np.ndarray, g: np.ndarray, first: np.ndarray, second: np.ndarray, rate: float, step: int) -> None:
+    """A step of Adam in place; g is used up."""
+    t = g - first
+    t *= 0.1
+    first += t
+    g *= g
+    g -= second
+    g *= 0.01
+    second += g
+    np.multiply(second, 1 / (1 - 0.99**step), out=g)
+    np.sqrt(g, out=g)
+    g += 1e-8
+    np.divide(first, g, out=t)
+    t *= rate
+    w -= t
 
 
 def of_round(windows: np.ndarray, number: int) -> np.ndarray:
@@ -502,21 +536,23 @@ class Model:
             o, inside = owner[at : at + AT_ONCE], first[at : at + AT_ONCE, None] + np.arange(WINDOW)
             there = (inside >= 0) & (inside < steps[o][:, None])
             here = np.where(there, starts[o][:, None] + inside, 0)
-            x = ids[here]
-            after = ids[np.where(there, here + 1, 0)[:, lead:]]
-            s = eq[x[:, lead:]] @ ek[x].transpose(0, 2, 1)
-            np.exp(np.clip(s, -STEEPEST, STEEPEST, out=s), out=s)
+            x = ids.take(here)
+            after = ids.take(np.where(there, here + 1, 0)[:, lead:])
+            s = _at_most(eq.take(x[:, lead:], 0) @ _turned(ek.take(x, 0)), STEEPEST, -STEEPEST)
+            np.exp(s, out=s)
             s *= seen
-            mixed = s @ ev[np.where(there, x, outside)]
-            mixed /= mixed[..., -1:].copy()
-            logits = mixed.reshape(-1, mixed.shape[2]) @ out
-            np.minimum(logits, 60, out=logits)  # what a class may get has no more than a few dozen as its logarithm
-            last, y, p = self.place[x[:, lead:]], self.class_of[after], self.place[after]
-            log = logits[np.arange(len(logits)), y.reshape(-1)]
+            mixed = s @ ev.take(np.where(there, x, outside), 0)
+            mixed *= 1 / mixed[..., -1:]
+            logits = _at_most(mixed.reshape(-1, mixed.shape[2]) @ out, 60)  # what a class may get has no more than a few dozen as its logarithm
+            last, y, p = self.place.take(x[:, lead:]), self.class_of.take(after), self.place.take(after)
+            log = logits.reshape(-1).take(np.arange(len(logits)) * logits.shape[1] + y.reshape(-1))
             np.exp(logits, out=logits)
             log -= np.log(logits @ ones)
             log = log.reshape(y.shape)
-            log += np.where(p < TOP, self.log_after[last, np.minimum(p, TOP - 1)], self.log_rest[last, y] + self.log_share[after])
+            inner = self.log_after.reshape(-1).take(last * TOP + np.minimum(p, TOP - 1))
+            others = np.nonzero(p >= TOP)
+            inner[others] = self.log_rest[last[others], y[others]] + self.log_share[after[others]]
+            log += inner
             scores += np.bincount(o, np.where(there[:, lead:], log, 0).sum(1, dtype=float), len(n))
         return scores / _LN10
 

@@ -176,3 +176,36 @@ def test_pairs_by_words(spark):
         ids, _ = chunk.sequences(end, np.array([k]))
         np.add.at(want, place[ids[:-1]] * 7 + place[ids[1:]], 1)
     assert len(wanted) < 40 and (got == want).all()
+
+
+def test_training_is_plain_adam(model):
+    """Distinct ids are told apart once a step and hand over their embeddings; the weights are those of Adam written out, in double precision."""
+    rng = np.random.default_rng(6)
+    windows = rng.integers(0, 40, (3 * scoring.BATCH - 5, scoring.WINDOW + 1)).astype("<u4")
+    windows[4, 9:] = windows[70, 2:] = scoring._NONE
+    start, class_of, calls = {k: rng.normal(0, 0.1, v.shape).astype("<f4") for k, v in model.layer.weights.items()}, model.class_of, []
+
+    class Watched(scoring.Layer):
+        def gradients(self, x, y, m, of_ids=None, own=None):
+            ids, at = of_ids
+            assert (np.unique(x) == ids).all() and (ids[at] == x.reshape(-1)).all() and (own == self.weights["E"][ids]).all()
+            calls.append(len(x))
+            return super().gradients(x, y, m, of_ids, own)
+
+    got = Watched({k: v.copy() for k, v in start.items()})
+    got.train(windows, class_of)
+    assert calls == [scoring.BATCH, scoring.BATCH, scoring.BATCH - 5]
+    layer = scoring.Layer({k: v.astype(float) for k, v in start.items()})
+    first, second = ({k: np.zeros(v.shape) for k, v in start.items()} for _ in range(2))
+    order = np.random.default_rng(3).permutation(len(windows))
+    for step, at in enumerate(range(0, len(order), scoring.BATCH), 1):
+        some = windows[order[at : at + scoring.BATCH]]
+        x, there = np.where(some[:, :-1] == scoring._NONE, 0, some[:, :-1]).astype(np.int64), some[:, 1:] != scoring._NONE
+        for name, d in layer.gradients(x, class_of[np.where(there, some[:, 1:], 0)], there).items():
+            rows = np.unique(x) if name == "E" else slice(None)
+            first[name][rows] = 0.9 * first[name][rows] + 0.1 * d
+            second[name][rows] = 0.99 * second[name][rows] + 0.01 * d * d
+            rate = 0.01 * (1 - at / len(order)) / (1 - 0.9**step)
+            layer.weights[name][rows] -= rate * first[name][rows] / (np.sqrt(second[name][rows] / (1 - 0.99**step)) + 1e-8)
+    for k, v in layer.weights.items():
+        assert np.quantile(np.abs(got.weights[k] - v), 0.99) < 1e-3, k
