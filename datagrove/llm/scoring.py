@@ -1,4 +1,4 @@
-"""Operator 2: language-model scoring with a causal self-attention model on subword ids, in numpy.
+"""Operator 2: language-model scoring with a causal self-attention model on subword ids.
 
 One pass cuts the texts into words (A-Z lower-cased, split at ASCII white space) and writes each chunk of documents as its
 distinct words, their subword ids and the words' places. From these tables come, over all training documents: how often each
@@ -15,6 +15,8 @@ P(id | class, last id) comes from the counts over all training documents, discou
 all probabilities of a step add up to one.
 Texts are scored in overlapping windows of WINDOW ids that move on by STRIDE: each id is scored once, in the last STRIDE places
 of a window, with at least WINDOW - STRIDE ids before it where the text has them, by batched masked attention.
+Single-precision sums of the layer run in onnxruntime where it is installed (fused.py), in numpy else and in double precision.
+Queries and keys meet in one matrix there, M = Q K' / sqrt(WIDTH), values and classes in another, V U.
 
 Null and empty texts have only the end token. Rows with a null id belong to the fold of the empty id text. Tables without
 training documents give base scores of counts of zero.
@@ -33,6 +35,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import fused
 from .common import cat_ranges, parts_for, small_batches, written
 from .word_ids import forget, word_ids
 
@@ -44,7 +47,10 @@ ID_BLOCK = 1024  # embeddings averaged in one group
 CHUNK_BYTES = 6 << 20
 CHUNKS_AT_ONCE = 4  # in one Arrow batch
 AT_ONCE = 96  # windows scored together
+LONG_WORD = 64  # bytes of a word hashed together with others
+ROWS_TOGETHER = 16  # of the table of what follows, in one message
 STEEPEST = 40  # an attention score's size at most, before the bias of its distance
+MOST = 60  # a class's logit at most
 DISCOUNT = 0.75
 #: The places of a window that see each other, and how far back each one sees.
 _SEEN = np.flatnonzero(np.tri(WINDOW, dtype=bool))
@@ -67,6 +73,29 @@ def _unpack(data: bytes, *kinds: str) -> list[np.ndarray]:
     return out
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    """A hash of 64 bits of each word (strings): eight bytes of all words at a time, and those of over LONG_WORD bytes one by one."""
+    if not len(words):
+        return np.zeros(0, "<u8")
+    ends = np.frombuffer(words.buffers()[1], np.int32, len(words) + 1, 4 * words.offset).astype(np.int64)
+    first, size = ends[:-1], np.diff(ends)
+    raw = np.concatenate([np.frombuffer(words.buffers()[2] or b"", np.uint8), np.zeros(8, np.uint8)])
+    eight = np.ndarray(len(raw) - 7, "<u8", raw, 0, (1,))  # the eight bytes from each one on
+    inside = np.array([(1 << 8 * k) - 1 for k in range(9)], "<u8")
+    out = size.astype("<u8") * np.uint64(0x9E3779B97F4A7C15)
+    some = np.flatnonzero(size <= LONG_WORD)
+    for at in range(0, LONG_WORD, 8):
+        some = some[size[some] > at]
+        h = out[some] ^ (eight[first[some] + at] & inside[np.minimum(size[some] - at, 8)])
+        for factor, shift in ((0xBF58476D1CE4E5B9, 32), (0x94D049BB133111EB, 29), (0xD6E8FEB86659FD93, 32)):
+            h *= np.uint64(factor)
+            h ^= h >> np.uint64(shift)
+        out[some] = h
+    for k in np.flatnonzero(size > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(raw[first[k] : first[k] + size[k]])
+    return out
+
+
 def held_out(doc_id) -> bool:
     return zlib.crc32(b"" if doc_id is None else str(doc_id).encode()) % 7 == 2
 
@@ -93,6 +122,11 @@ class Chunk:
     def word_counts(self) -> np.ndarray:
         return np.bincount(self.places[np.repeat(self.training, self.n_words)], minlength=len(self.hashes))
 
+    def id_counts(self, end: int) -> np.ndarray:
+        counts = np.bincount(self.ids, np.repeat(self.word_counts(), self.n_ids), end + 1).astype("<i8")
+        counts[end] += self.training.sum()
+        return counts
+
     def windows(self, end: int) -> np.ndarray:
         """Training windows (WINDOW + 1 ids, _NONE behind the text's end): all of the training documents."""
         wanted, out = np.flatnonzero(self.training), [np.zeros((0, WINDOW + 1), "<u4")]
@@ -104,8 +138,10 @@ class Chunk:
             first = np.repeat(np.cumsum(n) - n, count) + place * WINDOW
             left = np.repeat(n, count) - place * WINDOW
             inside = np.arange(WINDOW + 1)
-            there = inside < left[:, None]
-            out.append(np.where(there, flat[np.where(there, first[:, None] + inside, 0)], _NONE).astype("<u4"))
+            made = flat.astype("<u4").take(first[:, None] + inside, mode="clip")
+            last = np.flatnonzero(left <= WINDOW)
+            made[last] = np.where(inside < left[last, None], made[last], _NONE)
+            out.append(made)
         return np.concatenate(out)
 
     def pairs(self, place: np.ndarray, end: int, side: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -146,7 +182,8 @@ class Chunk:
 
 
 def chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
-    """The table of chunks: chunk (a number), data (the chunk) and windows (its training windows, null where it has none)."""
+    """The table of chunks: chunk (a number), data (the chunk), windows (its training windows, null where it has none) and counts
+    (the ids of its training documents, and how often each occurs)."""
 
     def run(batches):
         words_of, part, seq, waiting, size = word_ids(tokenizer), TaskContext.get().partitionId(), 0, [], 0
@@ -165,12 +202,15 @@ def chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             encoded = words_of.encode(distinct)
             n_ids = pc.binary_length(encoded).to_numpy(zero_copy_only=False) // words_of.width
             ids = np.frombuffer(pc.binary_join(pa.ListArray.from_arrays([0, len(encoded)], encoded), b"")[0].as_py(), words_of.kind)
-            hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in distinct.cast(pa.binary()).to_pylist()], "<u8")
+            hashes = _hashes(distinct)
             known = pc.is_valid(keys).to_numpy(zero_copy_only=False).astype(np.uint8)
             made = Chunk(known, pc.fill_null(keys, 0).to_numpy(), n, words.indices.to_numpy().astype("<u4"), n_ids, ids, hashes)
             windows = made.windows(end_id)
             packed = _pack(windows.reshape(-1)) if len(windows) else None
-            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([made.written()], pa.binary()), pa.array([packed], pa.binary())], ["chunk", "data", "windows"])
+            times = made.id_counts(end_id)
+            some = np.flatnonzero(times)
+            binary = [pa.array([x], pa.binary()) for x in (made.written(), packed, _pack(some.astype("<i8"), times[some]))]
+            return pa.RecordBatch.from_arrays([pa.array([number]), *binary], ["chunk", "data", "windows", "counts"])
 
         for batch in batches:
             ends = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(batch.schema.get_field_index("text"))), 0).to_numpy(zero_copy_only=False), dtype=np.int64)
@@ -188,7 +228,7 @@ def chunks(docs: DataFrame, tokenizer: str, end_id: int) -> DataFrame:
             yield flush()
 
     plain = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return written(plain.mapInArrow(run, "chunk long, data binary, windows binary"), "chunks", packed=True)
+    return written(plain.mapInArrow(run, "chunk long, data binary, windows binary, counts binary"), "chunks", packed=True)
 
 
 # --- counts over all training documents ---------------------------------------------------------------------------
@@ -228,19 +268,16 @@ def id_counts(table: DataFrame, end: int) -> np.ndarray:
     """How often each id occurs in training documents, their end included; as many rows as ids."""
 
     def run(batches):
-        forget()
-        total = np.zeros(1, np.int64)
+        total = np.zeros(end + 1, np.int64)
         for batch in batches:
-            for row in batch.to_pylist():
-                chunk = Chunk.read(row["data"])
-                counts = np.bincount(chunk.ids, np.repeat(chunk.word_counts(), chunk.n_ids), max(end + 1, len(total))).astype(np.int64)
-                counts[end] += chunk.training.sum()
-                counts[: len(total)] += total
-                total = counts
+            for data in batch.column(0).to_pylist():
+                some, n = _unpack(data, "<i8", "<i8")
+                total = np.concatenate([total, np.zeros(max(0, int(some.max(initial=0)) + 1 - len(total)), np.int64)])
+                total[some] += n
         some = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int64)), pa.array(total[some])], ["id", "n"])
 
-    found = table.select("data").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
+    found = table.select("counts").mapInArrow(run, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).toArrow()
     ids, n = found.column("id").to_numpy(), found.column("n").to_numpy()
     out = np.zeros(max(end + 1, int(ids.max(initial=0)) + 1), np.int64)
     out[ids] = n
@@ -265,46 +302,40 @@ def following_counts(table: DataFrame, place: np.ndarray, end: int) -> np.ndarra
                 else:
                     total += counts
         if total is not None:
-            for a in np.flatnonzero(total.reshape(side, side).any(1)):
-                row = total[a * side : (a + 1) * side]
-                some = np.flatnonzero(row)
-                yield pa.RecordBatch.from_arrays([pa.array([int(a)], pa.int32()), pa.array([_pack(some.astype("<u2"), row[some])], pa.binary())], ["a", "data"])
+            for at in range(0, side * side, ROWS_TOGETHER * side):
+                rows = total[at : at + ROWS_TOGETHER * side]
+                some = np.flatnonzero(rows)
+                if len(some):
+                    yield pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([_pack(some.astype("<u2"), rows[some])], pa.binary())], ["at", "data"])
 
     def merged(rows: pa.Table) -> pa.Table:
         if not rows.num_rows:
             return rows
-        total = np.zeros(side, np.int64)
+        total = np.zeros(ROWS_TOGETHER * side, np.int64)
         for data in rows.column("data").to_pylist():
             some, n = _unpack(data, "<u2", "<i8")
             total[some] += n
         some = np.flatnonzero(total)
-        return pa.table({"a": rows.column("a")[:1].cast(pa.int32()), "data": pa.array([_pack(some.astype("<u2"), total[some])], pa.binary())})
+        return pa.table({"at": rows.column("at")[:1].cast(pa.int32()), "data": pa.array([_pack(some.astype("<u2"), total[some])], pa.binary())})
 
-    out = np.zeros((side, side), np.int64)
-    found = table.select("data").mapInArrow(run, "a int, data binary").groupBy("a").applyInArrow(merged, "a int, data binary")
+    out = np.zeros(side * side, np.int64)
+    found = table.select("data").mapInArrow(run, "at int, data binary").groupBy("at").applyInArrow(merged, "at int, data binary")
     for row in found.toLocalIterator():
         some, n = _unpack(row.data, "<u2", "<i8")
-        out[row.a, some] = n
-    return out
+        out[row.at + some.astype(np.int64)] = n
+    return out.reshape(side, side)
 
 
 # --- the model ----------------------------------------------------------------------------------------------------
 
 
-def _grouped(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The distinct ids of x, and which of them each place has."""
-    flat = x.reshape(-1)
-    bits = len(flat).bit_length()
-    keys = np.sort((flat.astype(np.int64) << bits) + np.arange(len(flat)))  # with their places
-    there, new, at = keys >> bits, np.ones(len(keys), bool), np.empty(len(keys), np.int64)
-    np.not_equal(there[1:], there[:-1], out=new[1:])
-    at[keys & ((1 << bits) - 1)] = np.cumsum(new) - 1
-    return there[new], at
-
-
-def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The transpose of a times b, by windows: their rows stay in the processor's cache."""
-    return (a.transpose(0, 2, 1) @ b).sum(0)
+def _grouped(x: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct ids of x, and which of them each place has; ids are below size."""
+    flat, met, rank = x.reshape(-1), np.zeros(size, bool), np.empty(size, np.int64)
+    met[flat] = True
+    ids = np.flatnonzero(met)
+    rank[ids] = np.arange(len(ids))
+    return ids, rank.take(flat)
 
 
 def _at_most(x: np.ndarray, high: float, low: float | None = None) -> np.ndarray:
@@ -325,13 +356,10 @@ class Layer:
         self.weights, self.tables = weights, None
 
     def projected(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Query (scaled), key and value of every id, made once, for a trained layer. Values end in a one, which sums what a place
-        sees; a last row of zeros stands for places outside of a text."""
+        """For a trained layer: what each id asks of the embeddings it sees, made once; the embeddings; what leads from a mix of them to the classes."""
         if self.tables is None:
             w = self.weights
-            values = np.zeros((len(w["E"]) + 1, WIDTH + 1), "<f4")
-            values[:-1, :-1], values[:-1, -1] = w["E"] @ w["V"], 1
-            self.tables = w["E"] @ (w["Q"] * np.float32(WIDTH**-0.5)), w["E"] @ w["K"], values
+            self.tables = w["E"] @ ((w["Q"] @ w["K"].T) * np.float32(WIDTH**-0.5)), w["E"], w["V"] @ w["U"]
         return self.tables
 
     def mask(self) -> np.ndarray:
@@ -340,41 +368,46 @@ class Layer:
     def gradients(self, x: np.ndarray, y: np.ndarray, m: np.ndarray, of_ids: tuple | None = None, own: np.ndarray | None = None) -> dict[str, np.ndarray]:
         """Of the mean loss over the places m; x: ids, y: the classes that follow. E has a row for each distinct id of x; of_ids:
         _grouped(x), own: the distinct ids' embeddings, where they are known."""
-        w, scale, (rows, places) = self.weights, np.float32(WIDTH**-0.5), x.shape
+        w, (rows, places) = self.weights, x.shape
         kind, n = w["E"].dtype, x.size
-        ids, at = of_ids or _grouped(x)
+        ids, at = of_ids or _grouped(x, len(w["E"]))
         own = w["E"].take(ids, 0) if own is None else own
-        into = np.concatenate([w["Q"] * scale, w["K"], w["V"]], 1)
-        parts = own @ into
-        q, k, v = (np.ascontiguousarray(parts[:, c : c + WIDTH]).take(at, 0).reshape(rows, places, WIDTH) for c in (0, WIDTH, 2 * WIDTH))
-        s = _at_most(q @ _turned(k), STEEPEST, -STEEPEST)
-        s += self.mask()
-        np.exp(s, out=s)
-        s *= (1 / (s @ np.ones(places, kind)))[..., None]
-        o = s @ v
-        g = o.reshape(-1, WIDTH) @ w["U"]
-        g += w["b"]
-        np.exp(_at_most(g, 60), out=g)
-        part = m.reshape(-1).astype(kind) / kind.type(max(1, np.count_nonzero(m)))
-        g *= (part / (g @ np.ones(g.shape[1], kind)))[:, None]
-        g.reshape(-1)[np.arange(n) * g.shape[1] + y.reshape(-1)] -= part
-        grads = {"U": _product(o, g.reshape(rows, places, -1)), "b": np.ones(n, kind) @ g}
-        do = (g @ w["U"].T).reshape(rows, places, WIDTH)
-        ds = do @ _turned(v)
-        ds -= np.einsum("abc,abc->ab", ds, s)[..., None]
-        ds *= s
-        by_place = np.ones(rows, kind) @ ds.reshape(rows, -1)
-        grads["R"] = np.bincount(_BACK, by_place[_SEEN], WINDOW).astype(kind)
-        back = np.empty((rows, places, 3 * WIDTH), kind)
-        np.matmul(ds, k, out=back[..., :WIDTH])
-        np.matmul(ds.transpose(0, 2, 1), q, out=back[..., WIDTH : 2 * WIDTH])
-        np.matmul(s.transpose(0, 2, 1), do, out=back[..., 2 * WIDTH :])
-        whole = _product(own.take(at, 0).reshape(rows, places, WIDTH), back)
-        whole[:, :WIDTH] *= scale
-        grads |= {name: whole[:, c : c + WIDTH] for name, c in (("Q", 0), ("K", WIDTH), ("V", 2 * WIDTH))}
-        dh, cells = back.reshape(-1, 3 * WIDTH) @ into.T, (at * WIDTH)[:, None] + np.arange(WIDTH)
-        grads["E"] = np.bincount(cells.reshape(-1), dh.reshape(-1), own.size).reshape(own.shape).astype(kind)
-        return grads
+        scale = kind.type(WIDTH**-0.5)
+        meet, lead = (w["Q"] @ w["K"].T) * scale, w["V"] @ w["U"]  # queries and keys, values and classes
+        part = m.reshape(-1, 1).astype(kind) / kind.type(max(1, np.count_nonzero(m)))
+        run = fused.gradients(places, WIDTH, STEEPEST, MOST) if kind == np.float32 else None
+        if run:
+            d_meet, d_lead, d_b, by_place, d_own = run(own=own, at=at.reshape(rows, places), m=meet, w=lead, b=w["b"], bias=self.mask(), y=y.reshape(-1, 1), part=part)
+        else:
+            h, t = (z.take(at, 0).reshape(rows, places, WIDTH) for z in (own, own @ meet))
+            turned = np.ascontiguousarray(h.transpose(0, 2, 1))
+            s = _at_most(t @ turned, STEEPEST, -STEEPEST)
+            s += self.mask()
+            np.exp(s, out=s)
+            s *= (1 / (s @ np.ones(places, kind)))[..., None]
+            mixed = (s @ h).reshape(-1, WIDTH)
+            g = mixed @ lead
+            g += w["b"]
+            np.exp(_at_most(g, MOST), out=g)
+            g *= part / (g @ np.ones(g.shape[1], kind))[:, None]
+            g.reshape(-1)[np.arange(n) * g.shape[1] + y.reshape(-1)] -= part[:, 0]
+            d_lead, d_b = mixed.T @ g, np.ones(n, kind) @ g
+            back = g @ lead.T
+            mean = np.einsum("ab,ab->a", back, mixed)
+            back = back.reshape(rows, places, WIDTH)
+            ds = back @ turned
+            ds -= mean.reshape(rows, places, 1)
+            ds *= s
+            by_place = (np.ones(rows, kind) @ ds.reshape(rows, -1)).reshape(places, places)
+            dt = (ds @ h).reshape(-1, WIDTH)
+            d_meet = h.reshape(-1, WIDTH).T @ dt
+            dh = ds.transpose(0, 2, 1) @ t
+            dh += s.transpose(0, 2, 1) @ back
+            dh, cells = dh.reshape(-1, WIDTH) + dt @ meet.T, (at * WIDTH)[:, None] + np.arange(WIDTH)
+            d_own = np.bincount(cells.reshape(-1), dh.reshape(-1), own.size).reshape(own.shape).astype(kind)
+        d_meet = d_meet * scale
+        grads = {"Q": d_meet @ w["K"], "K": d_meet.T @ w["Q"], "V": d_lead @ w["U"].T, "U": w["V"].T @ d_lead, "b": d_b, "E": d_own}
+        return grads | {"R": np.bincount(_BACK, by_place.reshape(-1)[_SEEN], WINDOW).astype(kind)}
 
     def train(self, windows: np.ndarray, class_of: np.ndarray, rate: float = 0.01, seed: int = 3) -> None:
         """One pass of Adam over windows (WINDOW + 1 ids, _NONE behind the end)."""
@@ -392,7 +425,7 @@ class Layer:
             some = order[at : at + BATCH]
             now = rate * (1 - at / len(order)) / (1 - 0.9**step)
             seen = x.take(some, 0)
-            of_ids = _grouped(seen)
+            of_ids = _grouped(seen, len(table))
             ids = of_ids[0]  # of the embeddings only those met move
             own, c, d = (z.take(ids, 0) for z in (table, first, second))
             grads = self.gradients(seen, y.take(some, 0), there.take(some, 0), of_ids, own)
@@ -524,36 +557,42 @@ class Model:
     def log10(self, ids: np.ndarray, n: np.ndarray) -> np.ndarray:
         """Of each sequence (end, ids, end), the log10 probability of all but its first id."""
         w, lead = self.layer.weights, WINDOW - STRIDE
-        eq, ek, ev = self.layer.projected()
-        seen, out, outside = np.exp(self.layer.mask()[lead:]), np.concatenate([w["U"], w["b"][None]]), len(ev) - 1
-        ones = np.ones(out.shape[1], "<f4")
+        run = fused.class_logs(WIDTH, lead, STEEPEST, MOST)
+        asked, lead_in, out = self.layer.projected()
+        mask = self.layer.mask()[lead:]
+        biases = np.stack([mask, np.where(np.arange(WINDOW) < lead, np.float32(-1e9), mask)])  # a text's first window has nothing before its first id
+        seen, ones = np.exp(biases), np.ones(out.shape[1], "<f4")
         starts, steps = np.cumsum(n) - n, n - 1
+        place, of_class = self.place.take(ids), self.class_of.take(ids)
+        inner = self.log_after.reshape(-1).take(place[:-1] * TOP + np.minimum(place[1:], TOP - 1))
+        others = np.flatnonzero(place[1:] >= TOP)
+        inner[others] = self.log_rest[place[others], of_class[others + 1]] + self.log_share[ids[others + 1]]
+        inner[starts[1:] - 1] = 0  # from one sequence to the next
+        scores = np.bincount(np.repeat(np.arange(len(n)), n)[1:], inner, len(n))
         count = -(-steps // STRIDE)  # windows; each scores the STRIDE ids after its last STRIDE places
         owner = np.repeat(np.arange(len(n)), count)
-        first = (np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)) * STRIDE - lead
-        scores = np.zeros(len(n))
+        number = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
+        left = steps[owner] - number * STRIDE
+        first, kind = starts[owner] + number * STRIDE - lead, (number == 0).astype(np.int64)
         for at in range(0, len(owner), AT_ONCE):
-            o, inside = owner[at : at + AT_ONCE], first[at : at + AT_ONCE, None] + np.arange(WINDOW)
-            there = (inside >= 0) & (inside < steps[o][:, None])
-            here = np.where(there, starts[o][:, None] + inside, 0)
-            x = ids.take(here)
-            after = ids.take(np.where(there, here + 1, 0)[:, lead:])
-            s = _at_most(eq.take(x[:, lead:], 0) @ _turned(ek.take(x, 0)), STEEPEST, -STEEPEST)
-            np.exp(s, out=s)
-            s *= seen
-            mixed = s @ ev.take(np.where(there, x, outside), 0)
-            mixed *= 1 / mixed[..., -1:]
-            logits = _at_most(mixed.reshape(-1, mixed.shape[2]) @ out, 60)  # what a class may get has no more than a few dozen as its logarithm
-            last, y, p = self.place.take(x[:, lead:]), self.class_of.take(after), self.place.take(after)
-            log = logits.reshape(-1).take(np.arange(len(logits)) * logits.shape[1] + y.reshape(-1))
-            np.exp(logits, out=logits)
-            log -= np.log(logits @ ones)
-            log = log.reshape(y.shape)
-            inner = self.log_after.reshape(-1).take(last * TOP + np.minimum(p, TOP - 1))
-            others = np.nonzero(p >= TOP)
-            inner[others] = self.log_rest[last[others], y[others]] + self.log_share[after[others]]
-            log += inner
-            scores += np.bincount(o, np.where(there[:, lead:], log, 0).sum(1, dtype=float), len(n))
+            some = slice(at, at + AT_ONCE)
+            here = first[some, None] + np.arange(WINDOW + 1)  # what is outside of the text is never seen, or not counted
+            x, y = ids.take(here[:, :-1], mode="clip"), of_class.take(here[:, lead + 1 :], mode="clip").reshape(-1, 1)
+            if run:
+                log = run(x=x, e=lead_in, em=asked, w=out, b=w["b"], biases=biases, kind=kind[some], y=y)[0]
+            else:
+                h = lead_in.take(x, 0)
+                s = _at_most(asked.take(x[:, lead:], 0) @ _turned(h), STEEPEST, -STEEPEST)
+                np.exp(s, out=s)
+                s *= seen.take(kind[some], 0)
+                mixed = s @ h
+                mixed *= (1 / (s @ np.ones(WINDOW, "<f4")))[..., None]
+                logits = mixed.reshape(-1, WIDTH) @ out
+                logits += w["b"]
+                log = np.take_along_axis(_at_most(logits, MOST), y, 1)
+                log = log - np.log(np.exp(logits, out=logits) @ ones)[:, None]
+            counted = np.arange(STRIDE) < left[some, None]
+            scores += np.bincount(owner[some], np.where(counted, log.reshape(-1, STRIDE), 0).sum(1, dtype=float), len(n))
         return scores / _LN10
 
 

@@ -5,9 +5,10 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 
-from datagrove.llm import scoring
+from datagrove.llm import fused, scoring
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 
@@ -209,3 +210,71 @@ def test_training_is_plain_adam(model):
             layer.weights[name][rows] -= rate * first[name][rows] / (np.sqrt(second[name][rows] / (1 - 0.99**step)) + 1e-8)
     for k, v in layer.weights.items():
         assert np.quantile(np.abs(got.weights[k] - v), 0.99) < 1e-3, k
+
+
+def test_fused_gradients(model, monkeypatch):
+    """In onnxruntime and in numpy, in single precision: those of double precision, with places outside of texts and scores cut at their limits."""
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 40, (5, scoring.WINDOW)), rng.integers(0, scoring.CLASSES, (5, scoring.WINDOW))
+    m = np.arange(scoring.WINDOW) < np.array([[32], [7], [20], [0], [32]])
+    for size in (0.3, 3):
+        weights = {k: rng.normal(0, size, v.shape) for k, v in model.layer.weights.items()}
+        single = scoring.Layer({k: v.astype("<f4") for k, v in weights.items()})
+        want = scoring.Layer({k: v.astype("<f4").astype(float) for k, v in weights.items()}).gradients(x, y, m)
+        assert fused.gradients(scoring.WINDOW, scoring.WIDTH, scoring.STEEPEST, scoring.MOST) is not None
+        by_fused = single.gradients(x, y, m)
+        with monkeypatch.context() as patched:
+            patched.setattr(fused, "gradients", lambda *_: None)
+            by_numpy = single.gradients(x, y, m)
+        for k, v in want.items():
+            assert by_fused[k].dtype == by_numpy[k].dtype == np.float32
+            for got in (by_fused[k], by_numpy[k]):
+                assert got.shape == v.shape and np.abs(got - v).max() < 1e-3 * max(1e-2, np.abs(v).max()), k
+
+
+def test_fused_scores(model, monkeypatch):
+    """In onnxruntime and in numpy: those of one id after the other, in double precision; several texts, short and long."""
+    rng, w = np.random.default_rng(9), {k: v.astype(float) for k, v in model.layer.weights.items()}
+    n = np.array([2, 3, 33, 9, 70, 26, 25, 24, 2])
+    ids = rng.integers(0, 121, n.sum())
+    want = []
+    for text in np.split(ids, np.cumsum(n)[:-1]):
+        total = 0.0
+        for k in range(len(text) - 1):
+            window = max(0, k // scoring.STRIDE * scoring.STRIDE - (scoring.WINDOW - scoring.STRIDE))
+            h, after = w["E"][text[window : k + 1]], text[k + 1]
+            s = np.exp((h[-1] @ w["Q"]) @ (h @ w["K"]).T * scoring.WIDTH**-0.5 + w["R"][k - window - np.arange(len(h))])
+            logits = s / s.sum() @ (h @ w["V"]) @ w["U"] + w["b"]
+            last, p, c = model.place[text[k]], model.place[after], model.class_of[after]
+            inner = model.log_after[last, p] if p < scoring.TOP else model.log_rest[last, c] + model.log_share[after]
+            total += logits[c] - np.log(np.exp(logits).sum()) + inner
+        want.append(total / math.log(10))
+    assert fused.class_logs(scoring.WIDTH, scoring.WINDOW - scoring.STRIDE, scoring.STEEPEST, scoring.MOST) is not None
+    assert np.abs(model.log10(ids, n) - want).max() < 1e-3
+    monkeypatch.setattr(fused, "class_logs", lambda *_: None)
+    assert np.abs(model.log10(ids, n) - want).max() < 1e-3
+
+
+def test_hashes_of_words():
+    """Of words of all lengths, also with zero bytes, no two are alike, and a word's hash is the same wherever it stands."""
+    rng = np.random.default_rng(10)
+    words = sorted({"".join(map(chr, rng.integers(97, 123, n))) for n in rng.integers(1, 100, 20_000)} | {"", "\0", "a", "a\0", "a\0\0", "日本" * 40, "x" * 64, "x" * 65})
+    whole = scoring._hashes(pa.array(words))
+    assert len(np.unique(whole)) == len(words) and scoring._hashes(pa.array([], pa.string())).tolist() == []
+    assert (scoring._hashes(pa.array(words[700:])) == whole[700:]).all() and (scoring._hashes(pa.array(words)[31:90]) == whole[31:90]).all()
+    assert scoring._hashes(pa.array(words[-1:])) == whole[-1]
+
+
+def test_following_counts(spark):
+    """What follows each other, summed over several chunks and tasks, is what the sequences hold; few messages carry it."""
+    rows = [(k, " ".join(f"w{(k * 7 + i * i) % 90}" for i in range(k % 60))) for k in range(300)]
+    table = scoring.chunks(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), PATH, 49407)
+    place = np.arange(49408) * 31 % (scoring.TOP + 1)
+    want, chunks = np.zeros((scoring.TOP + 1, scoring.TOP + 1), np.int64), [scoring.Chunk.read(r.data) for r in table.collect()]
+    for chunk in chunks:
+        for k in np.flatnonzero(chunk.training):
+            ids, _ = chunk.sequences(49407, np.array([k]))
+            np.add.at(want, (place[ids[:-1]], place[ids[1:]]), 1)
+    assert (np.bincount(place, scoring.id_counts(table, 49407), scoring.TOP + 1) == want.sum(0)).all()  # each id but the first end follows one
+    assert len(chunks) == 3 and (scoring.following_counts(table, place, 49407) == want).all()
+    assert -(-(scoring.TOP + 1) // scoring.ROWS_TOGETHER) < 200 and scoring.ROWS_TOGETHER * (scoring.TOP + 1) <= 1 << 16
