@@ -91,7 +91,7 @@ def _logits(g: _Graph, mixed: str, most: float) -> str:
 def gradients(places: int, width: int, steepest: float, most: float):
     """own (embeddings of distinct ids), at (which of them each place of each window has), m (queries and keys), w (values and
     classes), b, bias (by places), y, part (of each place in the loss; both as columns) -> gradients of m, w and b, summed
-    gradients of scores by places, gradients of own. None without onnxruntime."""
+    gradients of scores by places, gradients of own. None where onnxruntime can't run it."""
     g = _Graph(own="<f4", at="<i8", m="<f4", w="<f4", b="<f4", bias="<f4", y="<i8", part="<f4")
     flat, cube = g.constant([-1, width], "<i8"), g.constant([-1, places, width], "<i8")
     per_row, first, last = g.constant([-1, 1], "<i8"), g.constant([0], "<i8"), g.constant([-1], "<i8")
@@ -117,7 +117,7 @@ def gradients(places: int, width: int, steepest: float, most: float):
 @functools.cache
 def class_logs(width: int, lead: int, steepest: float, most: float):
     """x (ids of windows), e (embeddings), em (times m), w, b, biases, kind (which bias a window has), y (classes that follow each
-    place after the first lead, as a column) -> their log probabilities. None without onnxruntime."""
+    place after the first lead, as a column) -> their log probabilities. None where onnxruntime can't run it."""
     g = _Graph(x="<i8", e="<f4", em="<f4", w="<f4", b="<f4", biases="<f4", kind="<i8", y="<i8")
     asking = g.add("Slice", "x", g.constant([lead], "<i8"), g.constant([1 << 31], "<i8"), g.constant([1], "<i8"))
     h = g.add("Gather", "e", "x")
@@ -129,6 +129,6 @@ def class_logs(width: int, lead: int, steepest: float, most: float):
 def _made(g: _Graph, *outputs: str):
     try:
         session = g.session(*outputs)
-    except ImportError:
+    except Exception:  # no onnxruntime, or one that doesn't know these operators: numpy does the sums
         return None
     return lambda **given: session.run(None, given)
